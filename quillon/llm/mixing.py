@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import materialise, words
+from ._shared import let, materialise, words
 
 #: No document is taken more often than this, so no target exceeds this times its source's size.
 MOST_REPEATS = 3
@@ -65,12 +65,17 @@ def _permuted(df: DataFrame, index: str, n: str, keys: list[Column], rounds: int
 
     Swap-or-not: each round pairs x with (k - x) mod n and swaps the pair or not by one bit of a hash of the pair.
     """
-    for r in range(rounds):
-        df = df.withColumn("__k", F.pmod(F.xxhash64(*keys, F.lit(r)), F.col(n)))
-        df = df.withColumn("__y", F.pmod(F.col("__k") - F.col(index), F.col(n)))
-        swap = F.xxhash64(*keys, F.lit(r), F.greatest(index, "__y")).bitwiseAND(F.lit(1)) == 1
-        df = df.withColumn(index, F.when(swap, F.col("__y")).otherwise(F.col(index)))
-    return df.drop("__k", "__y")
+
+
+    def turn(x: Column, r: Column) -> Column:
+        k = F.pmod(F.xxhash64(*keys, r), F.col(n))
+
+        def swapped(y: Column) -> Column:
+            return F.when(F.xxhash64(*keys, r, F.greatest(x, y)).bitwiseAND(F.lit(1)) == 1, y).otherwise(x)
+
+        return let(F.pmod(k - x, F.col(n)), swapped)
+
+    return df.withColumn(index, F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), F.col(index).cast("long"), turn))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_words: int = 128, shard_slots: int = 1 << 16, seed: int = 11, rounds: int = 16, bucket_rows: int = 200_000) -> Mix:
