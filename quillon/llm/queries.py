@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding
+from . import mixing, packing, quality_rules, sharding, tokens
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TABLE = 65537
@@ -94,7 +95,31 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op7_quality_rules": op7_quality_rules, "op9_mixing": op9_mixing}
+def vocabulary() -> str:
+    """The path of the production vocabulary, as the tokenizers' package gives it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), vocabulary(), 4096, end_id=1)
+    slim = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(slim, 4096, ["doc_id", "piece", "ids_crc32"])
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = tokens.write_ids(_table(spark, sf_dir, "documents"), vocabulary(), "token-ids", end_id=2)
+    return tokens.read_ids(table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op4_packing": op4_packing,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_token_ids": op8_token_ids,
+    "op9_mixing": op9_mixing,
+}
 
 
 def oracles() -> dict[str, str]:

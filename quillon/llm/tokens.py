@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,11 @@ ESCAPE = 1
 BLOCK = 512
 CHUNK_IDS = 1 << 17
 #: Texts are encoded in slices of about so many characters, and the cache is emptied beyond so many pieces or characters.
-SLICE_CHARS, CACHE_PIECES, CACHE_CHARS = 4_000_000, 600_000, 30_000_000
+SLICE_CHARS, CACHE_PIECES, CACHE_CHARS = 4_000_000, 1_000_000, 30_000_000
 
 
 class _Places(dict):
-    """piece -> its place in the cache; unknown pieces are noted for encoding."""
+    """string -> its place in a table; unknown strings get the next place and are noted."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -44,8 +45,36 @@ class _Places(dict):
         return place
 
 
+class _Ragged:
+    """A growing list of id runs."""
+
+    def __init__(self) -> None:
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.used += len(ids)
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs at these places, one after another, and their lengths."""
+        lengths = self.length[places]
+        ends = np.cumsum(lengths)
+        shift = np.repeat(self.start[places] - (ends - lengths), lengths)
+        shift += np.arange(len(shift))
+        return self.flat[shift], lengths
+
+
 class PieceEncoder:
-    """encode(texts) gives all ids (uint32) and each text's number of ids, as the tokenizer's encode() would."""
+    """encode(texts) gives all ids (uint32) and each text's number of ids, as the tokenizer's encode() would.
+
+    The tokenizer splits letters from a closing full stop or comma and lowers case, so "The," is looked up as the
+    core "the" and the tail ","; only cores go to the tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,24 +84,31 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.places, self.chars = _Places(), 0
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pieces, self.cores, self.chars = _Places(), _Places(), 0
+        self.piece_ids, self.core_ids = _Ragged(), _Ragged()
 
     def _learn(self) -> None:
-        new, self.places.new = self.places.new, []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        new, self.pieces.new = self.pieces.new, []
+        look, parts = self.cores.__getitem__, []
+        for piece in new:
+            core = piece[:-1]
+            if piece[-1:] in (".", ",") and core.isalpha():
+                parts.append(look(core.lower() if core.isascii() else core))
+                parts.append(look(piece[-1]))
+            elif piece.isalpha() and piece.isascii():
+                parts.append(look(piece.lower()))
+                parts.append(look(""))
+            else:
+                parts.append(look(piece))
+                parts.append(look(""))
+        cores, self.cores.new = self.cores.new, []
+        if cores:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(cores, add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(lengths.sum())
-            if self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.used += total
-            self.chars += sum(map(len, part))
+            self.core_ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+        ids, lengths = self.core_ids.take(np.array(parts, np.int64))
+        self.piece_ids.add(ids, lengths[::2] + lengths[1::2])
+        self.chars += sum(map(len, new))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts, counts, at = [], [], 0
@@ -88,20 +124,16 @@ class PieceEncoder:
         return (np.concatenate(parts), np.concatenate(counts)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.places) > CACHE_PIECES or self.chars > CACHE_CHARS:
+        if len(self.pieces) > CACHE_PIECES or self.chars > CACHE_CHARS:
             self._clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        look = self.places.__getitem__
-        where = np.fromiter((look(p) for s in split for p in s), np.int64, int(sizes.sum()))
-        if self.places.new:
+        lined = [t.replace("\n", " ") for t in texts]
+        sizes = np.fromiter((t.count(" ") + 1 for t in lined), np.int64, len(lined))
+        where = np.fromiter(map(self.pieces.__getitem__, " ".join(lined).split(" ")), np.int64, int(sizes.sum()))
+        if self.pieces.new:
             self._learn()
-        lengths = self.length[where]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        take = np.repeat(self.start[where] - (ends - lengths), lengths) + np.arange(total)
-        upto = np.concatenate([[0], ends])[np.cumsum(sizes)]
-        return self.flat[take], np.diff(upto, prepend=0)
+        ids, lengths = self.piece_ids.take(where)
+        upto = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes)]
+        return ids, np.diff(upto, prepend=0)
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -122,7 +154,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 def pack_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values (unsigned, below 2^64) as Simple-8b words, and the word offset of each block of BLOCK values.
 
-    All blocks are packed in step: the k-th round writes the k-th word of every block that has values left, taking the
+    All blocks are packed in step: the k-th round places the k-th word of every block that has values left, taking the
     selector that covers the most of them. Places after a block's end count as zeros.
     """
     values = values.astype(np.uint64)
@@ -133,51 +165,51 @@ def pack_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.minimum(np.arange(1, n_blocks + 1) * BLOCK, n)
     bits = _needed(values)
     best = np.full(n, ESCAPE, np.uint8)
-    places, end_of = np.arange(n), np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+    places = np.arange(n, dtype=np.int32)
+    end_of = np.repeat(ends, np.diff(ends, prepend=0)).astype(np.int32)
     for selector in range(len(SELECTORS) - 1, -1, -1):  # narrower selectors, which hold more, overwrite wider ones
         if selector == ESCAPE:
             continue
         count, width = SELECTORS[selector]
-        wide = np.where(bits > width, places, n)
-        next_wide = np.minimum.accumulate(wide[::-1])[::-1]
-        best[next_wide >= np.minimum(places + count, end_of)] = selector
+        fits = bits <= width
+        if not fits.any():
+            break
+        next_wide = np.minimum.accumulate(np.where(fits, np.int32(n), places)[::-1])[::-1]
+        best[next_wide >= np.minimum(places + np.int32(count), end_of)] = selector
+    held = np.array([1 if s is None else s[0] for s in SELECTORS], np.int64)
     at, open_blocks = np.arange(n_blocks) * BLOCK, np.arange(n_blocks)
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    rounds: list[tuple[np.ndarray, np.ndarray]] = []
     while len(open_blocks):
-        selector = best[at]
-        word, step = np.zeros(len(at), np.uint64), np.ones(len(at), np.int64)
-        second: tuple[np.ndarray, np.ndarray] | None = None
-        for s in np.unique(selector):
-            own = np.nonzero(selector == s)[0]
-            if s == ESCAPE:
-                word[own] = np.uint64(ESCAPE) << np.uint64(60)
-                second = (open_blocks[own], values[at[own]])
-                continue
-            count, width = SELECTORS[s]
-            step[own] = count
-            if not width:
-                continue
-            places = at[own][:, None] + np.arange(count)
-            inside = places < ends[open_blocks[own]][:, None]
-            shifted = np.where(inside, values[np.minimum(places, n - 1)], 0).astype(np.uint64) << (np.arange(count) * width).astype(np.uint64)
-            word[own] = np.bitwise_or.reduce(shifted, axis=1) | (np.uint64(s) << np.uint64(60))
-        rows.append((open_blocks, word))
-        if second is not None:
-            rows.append(second)
-        at = at + step
+        rounds.append((at, open_blocks))
+        at = at + held[best[at]]
         left = at < ends[open_blocks]
         at, open_blocks = at[left], open_blocks[left]
-    blocks = np.concatenate([b for b, _ in rows])
-    words = np.concatenate([w for _, w in rows])
-    order = np.argsort(blocks, kind="stable")
-    per_block = np.bincount(blocks, minlength=n_blocks)
-    return words[order], (np.cumsum(per_block) - per_block).astype(np.uint32)
+    at = np.sort(np.concatenate([a for a, _ in rounds]))
+    selector = best[at]
+    size = np.where(selector == ESCAPE, 2, 1)
+    to = np.cumsum(size) - size
+    words = np.zeros(int(size.sum()), np.uint64)
+    words[to] = selector.astype(np.uint64) << np.uint64(60)
+    for s in np.unique(selector):
+        own = np.nonzero(selector == s)[0]
+        if s == ESCAPE:
+            words[to[own] + 1] = values[at[own]]
+            continue
+        count, width = SELECTORS[s]
+        last = end_of[at[own]]
+        for k in range(count if width else 0):
+            place = at[own] + k
+            inside = place < last
+            words[to[own[inside]]] |= values[place[inside]] << np.uint64(k * width)
+    return words, to[np.searchsorted(at, np.arange(n_blocks) * BLOCK)].astype(np.uint32)
 
 
 def _needed(values: np.ndarray) -> np.ndarray:
     """How many bits each value needs."""
-    powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    return np.searchsorted(powers, values, side="right").astype(np.uint8)
+    bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    large = np.nonzero(bits > 52)[0]  # where the conversion may have rounded up
+    bits[large] = [int(v).bit_length() for v in values[large].tolist()]
+    return bits
 
 
 def unpack_words(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
