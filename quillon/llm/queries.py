@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, sharding, tokens
+from . import language_id, mixing, packing, quality_rules, sharding, tokens
+from ._shared import held_out, learnable
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TABLE = 65537
@@ -15,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(learnable(F.col("doc_id"))))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language_id.predict(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, ["doc_id"], SHARDS, TABLE)
@@ -114,6 +121,7 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
     "op4_packing": op4_packing,
     "op7_quality_rules": op7_quality_rules,
