@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_rules, sharding, tokens
+from . import language_id, line_crf, mixing, packing, quality_rules, sharding, tokens
 from ._shared import held_out, learnable
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -120,6 +120,18 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_ids(table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> line_crf.LineCRF:
+    """The classifier learnt from the labelled documents that are not held out."""
+    return line_crf.learn(docs, labels.where(learnable(F.col("doc_id"))))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model(docs, _table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), line_crf.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
@@ -127,6 +139,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_token_ids": op8_token_ids,
     "op9_mixing": op9_mixing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 
