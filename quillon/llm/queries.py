@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_crf, mixing, packing, quality_rules, sharding, tokens
+from . import jaccard_join, language_id, line_crf, mixing, packing, quality_rules, sharding, tokens
 from ._shared import held_out, learnable
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -38,6 +38,10 @@ def op2_sql() -> str:
     """
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.clean(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "lost_words")
@@ -136,6 +140,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
     "op4_packing": op4_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_ids": op8_token_ids,
     "op9_mixing": op9_mixing,
