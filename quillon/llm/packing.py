@@ -132,7 +132,7 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], length: str = "leng
     """
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset", "__part")]
     fits = F.col(f"`{length}`").between(1, capacity)
-    kept = pieces.select(*(F.col(f"`{c}`") for c in columns))
+    kept = materialise(pieces.select(*(F.col(f"`{c}`") for c in columns)), "pack-pieces")  # read three times below
     by = [F.col(f"`{length}`").desc(), *(F.col(f"`{c}`") for c in order)]
     sorted_pieces = materialise(kept.where(fits).repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "pack-sorted")
     part_counts = sorted_pieces.groupBy(F.col(f"`{length}`").alias("__len"), "__part").agg(F.count(F.lit(1)).alias("__n"))

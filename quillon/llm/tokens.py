@@ -29,7 +29,7 @@ ESCAPE = 1
 BLOCK = 512
 CHUNK_IDS = 1 << 17
 #: Texts are encoded in slices of about so many characters, and the cache is emptied beyond so many pieces or characters.
-SLICE_CHARS, CACHE_PIECES, CACHE_CHARS = 4_000_000, 1_000_000, 30_000_000
+SLICE_CHARS, CACHE_PIECES, CACHE_CHARS = 4_000_000, 800_000, 24_000_000
 
 
 class _Places(dict):
