@@ -66,7 +66,6 @@ def _permuted(df: DataFrame, index: str, n: str, keys: list[Column], rounds: int
     Swap-or-not: each round pairs x with (k - x) mod n and swaps the pair or not by one bit of a hash of the pair.
     """
 
-
     def turn(x: Column, r: Column) -> Column:
         k = F.pmod(F.xxhash64(*keys, r), F.col(n))
 
@@ -160,7 +159,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents without words are taken 0 times and go. Rows equal in id and text share their copies evenly.
     """
     documents = mix(docs, doc_id, text, source, **options).documents
-    each = documents.groupBy("doc_id", "text_hash").agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("__copies"))
-    keyed = docs.withColumn("__hash", F.xxhash64(F.col(f"`{text}`")))
-    joined = keyed.join(each, F.col(f"`{doc_id}`").eqNullSafe(each["doc_id"]) & (F.col("__hash") == each["text_hash"])).where("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[f"`{c}`"] for c in docs.columns))
+    each = documents.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("__copies"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{text}`")))
+    joined = keyed.join(each, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash"))).where("__copies > 0")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -360,3 +360,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     gaps = F.zip_with(starts, stops, lambda a, b: F.substring(F.col("__body"), (a + 1).cast("int"), (b - a).cast("int")))
     kept = F.when(F.col("spans").isNull(), F.col("__body")).otherwise(F.aggregate(gaps, F.lit(b""), lambda a, x: F.concat(a, x)))
     return joined.select(*(F.col(f"`{c}`") for c in names), size.alias("n_bytes"), F.coalesce("spans", F.expr("array()").cast("array<struct<f:bigint,e:bigint>>")).alias("spans"), kept.alias("kept"))
+
+
+def as_text(kept: Column, original: Column) -> Column:
+    """The kept bytes as a string; characters of which a cut left only some bytes go, as nothing else does."""
+    valid = F.make_valid_utf8(kept.cast("string"))
+    return F.when(F.contains(original, F.lit("\ufffd")), valid).otherwise(F.replace(valid, F.lit("\ufffd"), F.lit("")))
