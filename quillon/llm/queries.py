@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, line_crf, mixing, packing, quality_rules, sharding, suffix_dedup, tokens
+from . import cover_tree, jaccard_join, language_id, line_crf, mixing, packing, quality_rules, sharding, suffix_dedup, tokens
 from ._shared import held_out, learnable
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -119,6 +119,27 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op3_sql() -> str:
+    return """
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+            FROM vectors q JOIN vectors d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r <= 5
+    """
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), vocabulary(), 4096, end_id=1)
     slim = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -145,6 +166,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
+    "op3_top_k": op3_top_k,
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -156,4 +178,4 @@ QUERIES = {
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_sharding": op2_sql(), "op7_quality_rules": op7_sql()}
+    return {"op2_sharding": op2_sql(), "op3_top_k": op3_sql(), "op7_quality_rules": op7_sql()}
