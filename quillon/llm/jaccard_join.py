@@ -2,9 +2,9 @@
 
 A document's set is its distinct shingles, as 64-bit hashes. Under any order of all shingles, two sets with a Jaccard
 similarity of at least t share one of their first n - ceil(t n) + 1 members; the orders here all put shingles that a
-corpus-wide count sketch marks as frequent last, and differ in the hash that orders the rest. Sharing a prefix member
-under the first order makes a pair of sets a candidate; it must share one under each other order too, and what is left
-after all these filters is verified on the whole sets.
+corpus-wide count sketch marks as frequent last, and differ in the hash that orders the rest. Sharing enough prefix
+members under the first order makes a pair of sets a candidate; it must share some under each other order too, and
+what is left after all these filters is verified on the whole sets.
 
 Links are wanted up to connectivity, so a frequent member does not give all pairs of its sets. First every set is
 compared with one partner only, the smallest set of the member they share most often; the links found make
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -174,6 +174,16 @@ def _postings(docs: DataFrame, heavy: np.ndarray, width: int, need: int) -> Data
     return docs.select("text").mapInArrow(run, "token long, heavy boolean, fp long, n int")
 
 
+def _least_shared(n: Column, m: Column, need: int) -> Column:
+    """How many members of their first prefixes two sets of sizes n >= m must share to be similar enough.
+
+    Of the members beyond the prefix that ends first, at most as many are common as that set has left: at most
+    ceil(t n) - 1. The rest of the overlap that similarity asks for, t / (1 + t) (n + m), lies within both prefixes.
+    """
+    overlap = F.ceil((n + m) * need / F.lit(100 + need))
+    return F.greatest(F.lit(1), overlap - (F.ceil(n * need / F.lit(100)) - 1))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, heavy: np.ndarray, need: int) -> DataFrame:
     """The pairs (a, b) of set ids that share prefix members under every order and are similar enough."""
     a = sets.select(F.col("fp").alias("a"), F.col("members").alias("of_a"))
@@ -231,7 +241,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = described.where("sketch IS NULL").drop("sketch")
     firsts = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
 
-    postings = _postings(docs, heavy, width, need)
+    postings = materialise(_postings(docs, heavy, width, need), "jaccard-postings")
     hub = F.min(F.struct("n", "fp"))
     other = F.max(F.struct("n", "fp"))
     by_token = W.partitionBy("token")
@@ -240,10 +250,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ends = frequent.groupBy("token").agg(hub.alias("hub"), other.alias("other")).where("hub.fp <> other.fp")
     shared = light.where("hub.fp <> other.fp").unionByName(frequent.join(ends, "token").select("token", "fp", "n", "hub", "other"))
     shared = materialise(shared.select("token", "fp", "n", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-shared")
+    discard(postings)
 
     # every set with the partner that it shares the most members with, among the smallest sets of its members
     close = shared.where((F.col("hub") != F.col("fp")) & (100 * F.col("hub_n") >= need * F.col("n")))
-    often = close.groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("k"))
+    often = close.groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n"))
+    often = often.where(F.col("k") >= _least_shared(F.col("n"), F.col("hub_n"), need))
     pairs = often.groupBy("fp").agg(F.max(F.struct("k", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("fp").alias("b"))
     pairs = materialise(pairs, "jaccard-pairs")
     known = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
@@ -260,7 +272,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     two = open_tokens.select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     across = one.join(two, "token").where((F.col("la") != F.col("lb")) & order & (100 * F.col("na") >= need * F.col("nb")))
-    across = materialise(across.select("a", "b").distinct(), "jaccard-across")
+    met = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    across = materialise(met.where(F.col("k") >= _least_shared(F.col("nb"), F.col("na"), need)).select("a", "b"), "jaccard-across")
     wanted = across.select(F.col("a").alias("fp")).unionByName(across.select(F.col("b").alias("fp"))).distinct()
     more = wanted.join(known, "fp", "left_anti").join(firsts, "fp")
     all_sets = sets.unionByName(_sets(docs, more, width))
