@@ -253,9 +253,10 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", ve
     dot = F.aggregate(F.zip_with("qc", "dc", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     most = dot + norm(F.col("qc")) * F.col("dr") + norm(F.col("dc")) * F.col("qr") + F.col("qr") * F.col("dr")
-    # the stated query set against all rows, in blocks: pairs of centres only; trees are fetched for pairs that are left
-    met = groups.drop("queries").join(floor.select("qp", "qb", "least"), ["qp", "qb"]).withColumn("__one", F.lit(1))
-    met = met.join(blocks.drop("data").withColumn("__one", F.lit(1)), "__one").where((most * (1 + 1e-9) + 1 >= F.col("least")) & ~((F.col("qp") == F.col("dp")) & (F.col("db") == 0)))
+    # the stated query set against all rows, in blocks: every group asks the blocks of each pivot; only centres and radii
+    # meet here, and trees are fetched for the pairs that are left
+    met = groups.drop("queries").join(floor.select("qp", "qb", "least"), ["qp", "qb"]).withColumn("dp", F.explode(F.sequence(F.lit(0), F.lit(len(pivots) - 1))))
+    met = met.join(blocks.drop("data"), "dp").where((most * (1 + 1e-9) + 1 >= F.col("least")) & ~((F.col("qp") == F.col("dp")) & (F.col("db") == 0)))
     pairs = materialise(met.select("qp", "qb", "dp", "db"), "search-pairs")
     spread = pairs.join(blocks.select("dp", "db", "data"), ["dp", "db"]).join(groups.select("qp", "qb", "queries"), ["qp", "qb"]).join(floor.select("qp", "qb", "floor"), ["qp", "qb"])
     rest = spread.select("qp", "qb", "queries", "data", "floor").mapInArrow(search, schema)
