@@ -19,11 +19,15 @@ MAX_COLLECT = 5_000_000
 
 
 def loss_matrix(losses: DataFrame, limit: int = MAX_COLLECT) -> tuple[list, np.ndarray]:
-    """Individuals in order, and their losses by row in order of row_id, for tables of at most `limit` values."""
+    """Individuals in order, and their losses by row in order of row_id, for tables of at most `limit` values.
+
+    A missing loss counts as the largest of its row.
+    """
     if losses.count() > limit:
         raise ValueError("the loss table is too large to collect; use lexicase_step()")
     frame = losses.toPandas().pivot(index="ind_id", columns="row_id", values="loss").sort_index()
-    return list(frame.index), frame.to_numpy()
+    matrix = frame.to_numpy(np.float64)
+    return list(frame.index), np.where(np.isnan(matrix), np.nanmax(matrix, axis=0), matrix)
 
 
 def _mad(x: np.ndarray) -> float:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.estimator import FeatureForest
 from quillon.functions.primitives import get_primitive, sanitise
 from quillon.operators import encoding, ensemble, importance, knn, linear, metrics, sampling, scaling, selection, timeseries
 from quillon.plans import compiler
@@ -245,11 +246,11 @@ def encode_cross(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- losses and scores --------------------------------------------------------------------------------------------
 
-_YP = "c_acctbal * 0.00031 AS y, CAST(c_custkey % 11 AS DOUBLE) * 0.3 - 1.0 AS p"
+_YP = "c_acctbal * 0.000310137 AS y, CAST(c_custkey % 11 AS DOUBLE) * 0.3 - 1.0 AS p"
 
 
 def _yp(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "customer").selectExpr("c_custkey", "c_acctbal * 0.00031 AS y", "CAST(c_custkey % 11 AS DOUBLE) * 0.3 - 1.0 AS p")
+    return _t(spark, sf, "customer").selectExpr("c_custkey", "c_acctbal * 0.000310137 AS y", "CAST(c_custkey % 11 AS DOUBLE) * 0.3 - 1.0 AS p")
 
 
 @query("case_losses", f"WITH t AS (SELECT c_custkey, {_YP} FROM customer), e AS (SELECT c_custkey, (y - p) * (y - p) AS q, abs(y - p) AS a FROM t) SELECT c_custkey, {_q('q')} AS squared, {_q('a')} AS absolute, {_q('exp(least(q, 10.0))', 4)} AS exp_squared, {_q('ln(1.0 + q)')} AS log_squared, {_q('q * q', 4)} AS quad, {_q('least(q, 1.0)')} AS bounded FROM e")
@@ -408,13 +409,13 @@ def knn_local_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- populations ------------------------------------------------------------------------------------------------------
 
-_LOSS = "SELECT c_nationkey AS ind_id, c_custkey % 40 AS row_id, round(avg(abs(c_acctbal)), 2) AS loss FROM customer GROUP BY ALL"
+_LOSS = "SELECT c_nationkey AS ind_id, c_custkey % 40 AS row_id, max(abs(c_acctbal)) AS loss FROM customer GROUP BY ALL"
 _POP = "SELECT p_partkey AS ind_id, p_retailprice AS fitness, CAST(p_size AS DOUBLE) AS size, p_brand AS cell FROM part"
 
 
 def _losses(spark: SparkSession, sf: str) -> DataFrame:
     t = _t(spark, sf, "customer")
-    return t.groupBy(F.col("c_nationkey").alias("ind_id"), (F.col("c_custkey") % 40).alias("row_id")).agg(F.round(F.avg(F.abs("c_acctbal")), 2).alias("loss"))
+    return t.groupBy(F.col("c_nationkey").alias("ind_id"), (F.col("c_custkey") % 40).alias("row_id")).agg(F.max(F.abs("c_acctbal")).alias("loss"))
 
 
 def _population(spark: SparkSession, sf: str) -> DataFrame:
@@ -512,9 +513,9 @@ def minimum_variance_split(spark: SparkSession, sf: str) -> DataFrame:
     return selection.best_split(_losses(spark, sf))
 
 
-@query("batch_means", f"SELECT ind_id, row_id // 16 AS batch, {_q('avg(loss)', 4)} AS loss FROM ({_LOSS}) GROUP BY ALL".replace("GROUP BY ALL) GROUP BY ALL", "GROUP BY ALL) GROUP BY 1, 2"))
+@query("batch_means", f"SELECT ind_id, row_id // 16 AS batch, {_q('avg(loss) * 0.7310137', 4)} AS loss FROM ({_LOSS}) GROUP BY ALL".replace("GROUP BY ALL) GROUP BY ALL", "GROUP BY ALL) GROUP BY 1, 2"))
 def batch_means(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.batch_means(_losses(spark, sf), 16).select("ind_id", "batch", _r(F.col("loss"), 4).alias("loss"))
+    return selection.batch_means(_losses(spark, sf), 16).select("ind_id", "batch", _r(F.col("loss") * F.lit(0.7310137), 4).alias("loss"))
 
 
 @query("hard_rows", f"SELECT row_id, {_q('median(loss)', 4)} AS score FROM ({_LOSS}) GROUP BY row_id ORDER BY median(loss) DESC, row_id LIMIT 10")
@@ -529,7 +530,7 @@ def instance_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- ensembles and importance -------------------------------------------------------------------------------------------
 
-_MODELS = "c_acctbal * 0.00031 AS y, c_acctbal * 0.0003 + sin(c_custkey) AS p0, c_acctbal * 0.00025 + cos(c_custkey) AS p1, sin(c_custkey * 2.0) AS p2"
+_MODELS = "c_acctbal * 0.000310137 AS y, c_acctbal * 0.0003 + sin(c_custkey) AS p0, c_acctbal * 0.00025 + cos(c_custkey) AS p1, sin(c_custkey * 2.0) AS p2"
 
 
 def _models(spark: SparkSession, sf: str) -> DataFrame:
@@ -587,7 +588,7 @@ def mean_replacement_importance(spark: SparkSession, sf: str) -> DataFrame:
     return importance.mean_replacement(df, linear.ridge(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"), "l_extendedprice")
 
 
-@query("residual_match", f"SELECT 'l_quantity' AS \"column\", {_q('corr(l_extendedprice, l_quantity)')} AS r FROM lineitem")
+@query("residual_match", f"WITH c AS (SELECT 'l_quantity' AS \"column\", corr(l_extendedprice, l_quantity) AS r FROM lineitem UNION ALL SELECT 'l_discount', corr(l_extendedprice, l_discount) FROM lineitem UNION ALL SELECT 'l_tax', corr(l_extendedprice, l_tax) FROM lineitem) SELECT \"column\", {_q('r')} AS r FROM c ORDER BY abs(c.r) DESC LIMIT 1")
 def residual_match(spark: SparkSession, sf: str) -> DataFrame:
     return importance.residual_match(_t(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).select("column", _r(F.col("r")).alias("r"))
 
@@ -661,3 +662,30 @@ def sample_split(spark: SparkSession, sf: str) -> DataFrame:
 def sample_mixup(spark: SparkSession, sf: str) -> DataFrame:
     df = _t(spark, sf, "customer")
     return sampling.mixup(df, "c_custkey", ["c_acctbal"], df.count())
+
+
+# --- the estimator ----------------------------------------------------------------------------------------------------
+
+
+def _forest(spark: SparkSession, sf: str) -> tuple[FeatureForest, DataFrame]:
+    df = _t(spark, sf, "part").selectExpr("p_partkey", "CAST(p_size AS DOUBLE) AS p_size", "p_retailprice", "sin(p_size) * p_size + p_retailprice * 0.01 AS y")
+    forest = FeatureForest(primitives="optimal", population=6, generations=1, genes=2, depth=2, ensemble=3)
+    return forest.fit(df, ["p_size", "p_retailprice"], "y", "p_partkey"), df
+
+
+@query("forest_predict")
+def forest_predict(spark: SparkSession, sf: str) -> DataFrame:
+    forest, df = _forest(spark, sf)
+    return forest.predict(df).select("p_partkey", "y", "prediction")
+
+
+@query("forest_transform")
+def forest_transform(spark: SparkSession, sf: str) -> DataFrame:
+    forest, df = _forest(spark, sf)
+    return forest.transform(df)
+
+
+@query("forest_importance")
+def forest_importance(spark: SparkSession, sf: str) -> DataFrame:
+    forest, _ = _forest(spark, sf)
+    return spark.createDataFrame(list(forest.importance().items()), "gene string, importance double")
