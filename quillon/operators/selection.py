@@ -117,17 +117,24 @@ def pareto_front(population: DataFrame, objectives: Sequence[str]) -> DataFrame:
     return population.alias("a").join(population.alias("b"), _dominates("b", "a", objectives), "left_anti")
 
 
-def pareto_layers(population: DataFrame, objectives: Sequence[str], most: int = 100) -> DataFrame:
-    """population with front: 0 for the rows that none dominates, 1 for those that only they dominate, and so on."""
-    out, rest, layer = None, population, 0
-    while layer < most:
-        front = pareto_front(rest, objectives).persist()
-        if front.isEmpty():
-            break
-        part = front.withColumn("front", F.lit(layer))
-        out = part if out is None else out.unionByName(part)
-        rest, layer = rest.join(front.select("ind_id"), "ind_id", "left_anti").persist(), layer + 1
-    return population.withColumn("front", F.lit(0)).limit(0) if out is None else out
+def pareto_layers(population: DataFrame, objectives: Sequence[str], limit: int = 100_000) -> DataFrame:
+    """population with front: 0 for the rows that none dominates, 1 for those that only they dominate, and so on.
+
+    A population is the driver's own list of individuals, so its objectives are collected, up to `limit` rows.
+    """
+    rows = population.select("ind_id", *objectives).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} individuals")
+    values = np.array([[r[o] for o in objectives] for r in rows], np.float64).reshape(len(rows), len(objectives))
+    front, left, layer = {}, np.arange(len(rows)), 0
+    while len(left):
+        part = values[left]
+        first = np.array([not ((part <= v).all(1) & (part < v).any(1)).any() for v in part])
+        front |= {rows[i]["ind_id"]: layer for i in left[first]}
+        left, layer = left[~first], layer + 1
+    kind = dict(population.dtypes)["ind_id"]
+    found = population.sparkSession.createDataFrame(list(front.items()), f"ind_id {kind}, front int")
+    return population.join(found, "ind_id")
 
 
 def crowding(population: DataFrame, objectives: Sequence[str]) -> DataFrame:
