@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from quillon.estimator import FeatureForest
 from quillon.functions.primitives import get_primitive, sanitise
-from quillon.operators import encoding, ensemble, importance, knn, linear, metrics, sampling, scaling, selection, timeseries
+from quillon.operators import complexity, encoding, ensemble, importance, knn, learners, linear, metrics, retrieval, sampling, scaling, selection, timeseries
 from quillon.plans import compiler
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -689,3 +689,71 @@ def forest_transform(spark: SparkSession, sf: str) -> DataFrame:
 def forest_importance(spark: SparkSession, sf: str) -> DataFrame:
     forest, _ = _forest(spark, sf)
     return spark.createDataFrame(list(forest.importance().items()), "gene string, importance double")
+
+
+# --- complexity, learners and retrieval ---------------------------------------------------------------------------------
+
+
+@query("complexity_tikhonov", f"WITH t AS ({_XY}) SELECT {_q('sqrt(sum(y * y))')} AS tikhonov FROM t")
+def complexity_tikhonov(spark: SparkSession, sf: str) -> DataFrame:
+    return complexity.tikhonov(_xy(spark, sf), "y").select(_r(F.col("tikhonov")).alias("tikhonov"))
+
+
+@query("complexity_sharpness", f"WITH t AS ({_XY}) SELECT {_q('avg(greatest((y - y * 1.1) * (y - y * 1.1), (y - sin(x)) * (y - sin(x))))')} AS sharpness FROM t")
+def complexity_sharpness(spark: SparkSession, sf: str) -> DataFrame:
+    y = F.col("y")
+    return complexity.sharpness(_xy(spark, sf), y, [y * F.lit(1.1), F.sin("x")]).select(_r(F.col("sharpness")).alias("sharpness"))
+
+
+@query("complexity_rademacher")
+def complexity_rademacher(spark: SparkSession, sf: str) -> DataFrame:
+    return complexity.rademacher(_xy(spark, sf), "y", "c_custkey")
+
+
+@query("complexity_igci", f"WITH t AS ({_XY}), u AS (SELECT c_custkey, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS x, (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) AS y FROM t), d AS (SELECT x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM u WINDOW w AS (ORDER BY x, c_custkey)) SELECT {_q('avg(ln(abs(dy / dx)))', 5)} AS igci FROM d WHERE dx <> 0 AND dy <> 0")
+def complexity_igci(spark: SparkSession, sf: str) -> DataFrame:
+    return complexity.igci(_xy(spark, sf), "x", "y", "c_custkey").select(_r(F.col("igci"), 5).alias("igci"))
+
+
+@query("learner_tree_cross_validation")
+def learner_tree_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
+    out = learners.cross_val(_xy(spark, sf), ["x"], "y", (F.col("c_custkey") % 3).cast("int"), 3)
+    return out.select("c_custkey", "fold", "prediction")
+
+
+@query("learner_logistic")
+def learner_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _xy(spark, sf).withColumn("c", (F.col("y") > 1).cast("int"))
+    return learners.classify(rows, rows, ["x"], "c").select("c_custkey", "prediction", F.get("probabilities", F.lit(1)).alias("p1"))
+
+
+@query("kmeans_bins")
+def kmeans_bins(spark: SparkSession, sf: str) -> DataFrame:
+    return learners.kmeans_bins(_xy(spark, sf), "x", 4, "bin").select("c_custkey", "bin")
+
+
+@query("pca_scaled")
+def pca_scaled(spark: SparkSession, sf: str) -> DataFrame:
+    rows = scaling.standard(_xy(spark, sf), ["x", "y"]).apply(_xy(spark, sf))
+    return learners.pca(rows, ["x", "y"], 2).select("c_custkey", "pc0", "pc1")
+
+
+_QUERY_VECTOR = [float((i * 7) % 11) - 5.0 for i in range(64)]
+
+
+@query(
+    "nearest_semantics",
+    f"""WITH q AS (SELECT {_QUERY_VECTOR!r}::DOUBLE[] AS q), c AS (SELECT list_transform(q, lambda x: x - list_avg(q)) AS q FROM q),
+        v AS (SELECT vec_id AS tree, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x - list_avg(CAST(embedding AS DOUBLE[]))) AS v FROM embeddings),
+        d AS (SELECT tree, abs(list_dot_product(v, q)) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)) AS r FROM v, c)
+        SELECT tree, {_q("sqrt(greatest(2.0 - 2.0 * r, 0.0))")} AS distance FROM d ORDER BY 2.0 - 2.0 * r, tree LIMIT 10""",
+)
+def nearest_semantics(spark: SparkSession, sf: str) -> DataFrame:
+    library = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("tree"), F.lit(1).alias("size"), F.col("embedding").alias("semantics"))
+    return retrieval.nearest_trees(library, _QUERY_VECTOR, 10).select("tree", _r(F.col("distance")).alias("distance"))
+
+
+@query("stage_order")
+def stage_order(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = retrieval.stage_order(_t(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 3)
+    return spark.createDataFrame(list(enumerate(chosen)), "place int, feature string")
