@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -76,3 +80,16 @@ def held_out(doc_id: Column) -> Column:
 def learnable(doc_id: Column) -> Column:
     """True for the rows a model may learn from: those with an id whose remainder is not 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
+
+
+def trim_worker() -> None:
+    """In a Python worker: drop the token cache that an earlier task left, and give freed memory back.
+
+    Workers outlive tasks and are shared by all operators; a task with large arrays of its own begins with this.
+    """
+    tokens = sys.modules.get("quillon.llm.tokens")
+    if tokens is not None:
+        tokens._encoders.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -10,8 +10,9 @@ their successors are sorted directly, by eight bytes at a time within the groups
 first bytes in order then induces the place of every other suffix from its successor's. Neighbours with a common
 prefix of `length` bytes are repeats.
 
-Texts that are equal as a whole are one text in all of this, and equal runs of one anchor one run, so a hot group of
-copies costs a few bytes per copy.
+Texts that are equal as a whole are one text in all of this, and equal runs of one anchor one run. Anchors and runs
+are counted by aggregates that tasks begin before anything is shuffled, and joined back to their places, so an anchor
+that a third of all texts share is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import discard, materialise
+from ._shared import discard, materialise, trim_worker
 
 ANCHOR = 32
 #: Texts are hashed in segments of so many bytes, which overlap by length - 1.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 #: Bytes of distinct runs that a block holds before it is sorted, anchors being whole.
 BLOCK_BYTES = 4_000_000
 #: Tables of at most so many rows are broadcast, larger ones shuffled.
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = 250_000
 
 _ODD = 0x2545F4914F6CDD1D
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -227,29 +228,50 @@ def _find_runs(texts: DataFrame, length: int) -> DataFrame:
     """anchor, th, first, last of every run of every text; a text once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            ids, bodies = [], []
-            for th, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if th not in seen:
-                    seen.add(th)
-                    ids.append(th)
-                    bodies.append(t)
-            text, anchor, first, last = anchor_runs(bodies, length)
-            if len(text):
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(np.array(ids, np.int64)[text]), pa.array(first), pa.array(last)], names=["anchor", "th", "first", "last"])
+        trim_worker()
+        for ths, anchor, first, last in _runs_of(batches, length):
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ths), pa.array(first), pa.array(last)], names=["anchor", "th", "first", "last"])
 
     return texts.mapInArrow(run, "anchor long, th long, first long, last long")
 
 
+def _anchors(texts: DataFrame, length: int) -> DataFrame:
+    """anchor, th, many per task and batch of texts: each anchor once, with one of its texts, and whether it has several runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_worker()
+        for ths, anchor, _, _ in _runs_of(batches, length):
+            values, at, n = np.unique(anchor, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(ths[at]), pa.array(n > 1)], names=["anchor", "th", "many"])
+
+    return texts.mapInArrow(run, "anchor long, th long, many boolean")
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """th, anchor, first, last of the runs, by batch; texts seen before in the task are left out."""
+    seen: set[int] = set()
+    for batch in batches:
+        ids, bodies = [], []
+        for th, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if th not in seen:
+                seen.add(th)
+                ids.append(th)
+                bodies.append(t)
+        text, anchor, first, last = anchor_runs(bodies, length)
+        if len(text):
+            yield np.array(ids, np.int64)[text], anchor, first, last
+
+
 def _with_bytes(runs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """The runs with the bytes they cover and a hash of these."""
+    """The runs with a hash of the bytes they cover, their number of starts, and once per task and hash the bytes."""
     lists = runs.groupBy("th").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))  # within one text
     ids = runs.select("th").distinct()
     few = ids.count() <= MAX_BROADCAST_ROWS
     chosen = texts.join(F.broadcast(ids) if few else ids, "th", "left_semi").dropDuplicates(["th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_worker()
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
             for th, body, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 flat = found.values
@@ -258,57 +280,47 @@ def _with_bytes(runs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                     part = slice(at, at + 20_000)
                     cut = [body[f : t + length] for f, t in zip(first[part].tolist(), last[part].tolist(), strict=True)]
                     digest = [int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little", signed=True) for c in cut]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), pa.array(digest, pa.int64()), pa.array([th] * len(cut), pa.int64()), pa.array(first[part]), pa.array(cut, pa.binary())], names=["anchor", "digest", "th", "first", "bytes"])
+                    once: list[bytes | None] = []
+                    for key, c in zip(zip(anchor[part].tolist(), digest, strict=True), cut, strict=True):
+                        once.append(None if key in sent else c)
+                        sent.add(key)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), pa.array(digest, pa.int64()), pa.array([th] * len(cut), pa.int64()), pa.array(first[part]), pa.array(last[part] - first[part] + 1), pa.array(once, pa.binary())], names=["anchor", "digest", "th", "first", "starts", "bytes"])
 
-    return chosen.join(lists, "th").select("th", "body", "runs").mapInArrow(run, "anchor long, digest long, th long, first long, bytes binary")
+    return chosen.join(lists, "th").select("th", "body", "runs").mapInArrow(run, "anchor long, digest long, th long, first long, starts long, bytes binary")
 
 
 def _repeats(rows: DataFrame, length: int) -> DataFrame:
-    """th, f, e: ranges of bytes covered by repeated strings; rows must be sorted by anchor, each in one partition."""
+    """anchor, digest, f, t: the ranges of starts, within a run, of strings that repeat among the distinct runs.
+
+    rows (anchor, digest, bytes) must be sorted by anchor, each anchor in one partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[tuple[int, int], int] = {}
+        trim_worker()
+        keys: list[tuple[int, int]] = []
         runs: list[bytes] = []
-        members: list[list[tuple[int, int]]] = []
         held, last = 0, None
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             nonlocal held
-            ths, froms, tos = [], [], []
-            masks = repeated_starts(runs, length)
-            for mask, own in zip(masks, members, strict=True):
-                spans = [(0, len(mask))] if len(own) > 1 else _intervals(mask)
-                for a, b in spans:
-                    for th, first in own:
-                        ths.append(th)
-                        froms.append(first + a)
-                        tos.append(first + b - 1 + length)
-            place.clear()
+            found = [(*k, a, b) for k, mask in zip(keys, repeated_starts(runs, length), strict=True) for a, b in _intervals(mask)]
+            keys.clear()
             runs.clear()
-            members.clear()
             held = 0
-            for at in range(0, len(ths), 50_000):
-                part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(ths[part], pa.int64()), pa.array(froms[part], pa.int64()), pa.array(tos[part], pa.int64())], names=["th", "f", "e"])
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(4)], names=["anchor", "digest", "f", "t"])
 
         for batch in batches:
-            anchors, digests, ths, firsts = (batch.column(i).to_pylist() for i in range(4))
-            body = batch.column(4)
-            for i, (anchor, digest, th, first) in enumerate(zip(anchors, digests, ths, firsts, strict=True)):
+            for anchor, digest, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if anchor != last and held >= BLOCK_BYTES:
-                    yield from flush()
+                    yield flush()
                 last = anchor
-                k = place.get((anchor, digest))
-                if k is None:
-                    k = place[anchor, digest] = len(runs)
-                    runs.append(body[i].as_py())
-                    members.append([])
-                    held += len(runs[-1])
-                members[k].append((th, first))
+                keys.append((anchor, digest))
+                runs.append(body)
+                held += len(body)
         if runs:
-            yield from flush()
+            yield flush()
 
-    return rows.mapInArrow(run, "th long, f long, e long")
+    return rows.mapInArrow(run, "anchor long, digest long, f long, t long")
 
 
 def find_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
@@ -320,15 +332,23 @@ def find_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Data
     texts = docs.select(body.alias("body")).where(F.octet_length("body") >= length).select(F.xxhash64("body").alias("th"), "body")
     whole = texts.groupBy("th").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("body")).cast("long").alias("size")).where("n > 1")
     whole = materialise(whole.select("th", "size"), "suffix-copies")
-    runs = _find_runs(texts, length)
-    same = W.partitionBy("anchor")
-    met = runs.withColumn("lo", F.min(F.struct("th", "first")).over(same)).withColumn("hi", F.max(F.struct("th", "first")).over(same))
-    met = materialise(met.where("lo <> hi").select("anchor", "th", "first", "last").distinct(), "suffix-runs")
+    seen = _anchors(texts, length).groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("many").alias("many"))
+    repeated = seen.where("many OR lo <> hi").select("anchor")
+    met = materialise(_find_runs(texts, length).join(repeated, "anchor").distinct(), "suffix-runs")
     total = met.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + length), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // (2 * BLOCK_BYTES)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    routed = _with_bytes(met, texts, length).repartition(blocks, "anchor").sortWithinPartitions("anchor")
-    ranges = materialise(_repeats(routed, length), "suffix-ranges")
+    routed = materialise(_with_bytes(met, texts, length), "suffix-bytes")
     discard(met)
+    # equal runs are one run here; where there are several, all their starts repeat
+    distinct = routed.groupBy("anchor", "digest").agg(F.max("bytes").alias("bytes"))
+    found = _repeats(distinct.select("anchor", "digest", "bytes").repartition(blocks, "anchor").sortWithinPartitions("anchor"), length)
+    members = routed.select("anchor", "digest", "th", "first", "starts")
+    several = members.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("starts").alias("starts")).where("n > 1")
+    parts = materialise(found.join(several, ["anchor", "digest"], "left_anti").unionByName(several.select("anchor", "digest", F.lit(0).cast("long").alias("f"), F.col("starts").alias("t"))), "suffix-parts")
+    met_parts = members.join(parts, ["anchor", "digest"])
+    ranges = materialise(met_parts.select("th", (F.col("first") + F.col("f")).alias("f"), (F.col("first") + F.col("t") - 1 + length).alias("e")), "suffix-ranges")
+    discard(routed)
+    discard(parts)
     by_text = W.partitionBy("th").orderBy("f", "e")
     upto = F.max("e").over(by_text.rowsBetween(W.unboundedPreceding, -1))
     islands = ranges.withColumn("new", F.when(F.col("f") > F.coalesce(upto, F.lit(-1)), 1).otherwise(0)).withColumn("island", F.sum("new").over(by_text.rowsBetween(W.unboundedPreceding, 0)))
@@ -346,7 +366,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     one that shares nothing, keeps all its bytes. Rows with equal texts are copies of each other, whatever their ids.
     """
     found = find_repeats(docs, text, length)
-    few = found.count() <= MAX_BROADCAST_ROWS
+    n, spans = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    few = n <= MAX_BROADCAST_ROWS and spans <= 4 * MAX_BROADCAST_ROWS
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     names = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept")]
     keyed = docs.select(*(F.col(f"`{c}`") for c in names), body.alias("__body")).withColumn("__th", F.xxhash64("__body"))
