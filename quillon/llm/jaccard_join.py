@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import discard, materialise
+from ._shared import discard, materialise, trim_worker
 from .components import components
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 #: Counters of the sketch; each task sends one such array.
 SKETCH = 1 << 18
 #: Sets whose ids are this few are looked up by broadcast, more by shuffling.
-MAX_BROADCAST_IDS = 1_000_000
+MAX_BROADCAST_IDS = 500_000
 #: Multipliers that make the token orders; the first gives the candidates.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -125,6 +125,7 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
     """Per row: doc_id, n (set size), fp (set id); and per task one row with the task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_worker()
         counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             sizes, ids = [], []
@@ -154,6 +155,7 @@ def _postings(docs: DataFrame, heavy: np.ndarray, width: int, need: int) -> Data
     """token, heavy (whether the sketch marks it), fp, n: the first order's prefix of every set, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_worker()
         seen: set[int] = set()
         for batch in batches:
             tokens, ids, sizes = [], [], []
@@ -190,6 +192,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, heavy: np.ndarray, need: int) -
     b = sets.select(F.col("fp").alias("b"), F.col("members").alias("of_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_worker()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -218,6 +221,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id").select("__fp", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_worker()
         for batch in batches:
             wants, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found = [(f, m.tobytes()) for f, m in zip(wants, shingle_sets(texts, width), strict=True) if fingerprint(m) == f]
