@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_CHARS = 1_000_000
+from ._shared import trim_worker
+
+SLICE_CHARS = 500_000
 #: The base features of a line, in order; the values are shares from 0 to 1 or are scaled to about that.
 FEATURES = ("symbols", "capitals", "digits", "marks", "shouts", "bars", "same_word", "long_words", "closed", "length", "repeated_line", "marked_words")
 
@@ -258,6 +260,7 @@ def score(text: Column, model: LineCRF) -> Column:
     def scored(column):
         import pandas as pd
 
+        trim_worker()
         texts = [t or "" for t in column]
         return pd.Series(np.concatenate([model.scores(texts[a:b])[0] for a, b in _slices(texts)]) if texts else np.zeros(0))
 

@@ -28,8 +28,10 @@ SELECTORS = [(240, 0), None, (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6
 ESCAPE = 1
 BLOCK = 512
 CHUNK_IDS = 1 << 17
+#: Documents whose ids are held at once besides a chunk's.
+DOCS_AT_ONCE = 500
 #: Texts are encoded in slices of about so many characters, and the cache is emptied beyond so many pieces or characters.
-SLICE_CHARS, CACHE_PIECES, CACHE_CHARS = 4_000_000, 800_000, 24_000_000
+SLICE_CHARS, CACHE_PIECES, CACHE_CHARS = 1_000_000, 800_000, 24_000_000
 
 
 class _Places(dict):
@@ -267,7 +269,7 @@ def write_ids(docs: DataFrame, vocabulary: str, name: str, end_id: int, doc_id:
             names, ids, sizes, held = [], [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=CHUNK_ARROW)
 
-        for batch in batches:
+        for batch in (b.slice(at, DOCS_AT_ONCE) for b in batches for at in range(0, b.num_rows, DOCS_AT_ONCE)):
             values, counts = with_end(*encoder(vocabulary).encode(batch.column(1).to_pylist()), end_id)
             at = 0
             for key, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
