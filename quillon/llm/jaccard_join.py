@@ -6,9 +6,8 @@ corpus-wide count sketch marks as frequent last, and differ in the hash that ord
 members under the first order makes a pair of sets a candidate; it must share some under each other order too, and
 what is left after all these filters is verified on the whole sets.
 
-Links are wanted up to connectivity, so a frequent member does not give all pairs of its sets. First every set is
-compared with one partner only, the smallest set of the member they share most often; the links found make
-components. Then all candidate pairs between different components, and only these, are filtered and verified, so no
+Links are wanted up to connectivity, so a frequent member does not give all pairs of its sets. First, in some
+rounds, every set is compared with one leader only, which it shares members with; the links found make components. Then all candidate pairs between different components, and only these, are filtered and verified, so no
 link between different texts is lost. Sets that are equal are one set throughout.
 """
 
@@ -30,6 +29,8 @@ SLICE_BYTES = 500_000
 SKETCH = 1 << 18
 #: Sets whose ids are this few are looked up by broadcast, more by shuffling.
 MAX_BROADCAST_IDS = 500_000
+#: Rounds of comparing every set with one leader before all pairs between components are looked at.
+LEADER_ROUNDS = 4
 #: Multipliers that make the token orders; the first gives the candidates.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -232,6 +233,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return chosen.mapInArrow(run, "fp long, members binary").dropDuplicates(["fp"])
 
 
+def _with_sets(docs: DataFrame, sets: DataFrame | None, pairs: DataFrame, firsts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """All sets fetched so far, with those of the pairs; and the latter among them, which the pairs need."""
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    lacking = wanted if sets is None else wanted.join(sets.select("fp"), "fp", "left_anti")
+    more = materialise(_sets(docs, lacking.join(firsts, "fp"), width), "jaccard-members")
+    sets = more if sets is None else sets.unionByName(more)
+    return sets, sets.join(wanted, "fp", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, need: int = 75) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included).
 
@@ -246,26 +256,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     firsts = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
 
     postings = materialise(_postings(docs, heavy, width, need), "jaccard-postings")
-    hub = F.min(F.struct("n", "fp"))
-    other = F.max(F.struct("n", "fp"))
+    low, high = F.min("fp"), F.max("fp")
     by_token = W.partitionBy("token")
-    light = postings.where("NOT heavy").select("token", "fp", "n", hub.over(by_token).alias("hub"), other.over(by_token).alias("other"))
+    light = postings.where("NOT heavy").select("token", "fp", "n", low.over(by_token).alias("lo"), high.over(by_token).alias("hi"))
     frequent = postings.where("heavy").select("token", "fp", "n")
-    ends = frequent.groupBy("token").agg(hub.alias("hub"), other.alias("other")).where("hub.fp <> other.fp")
-    shared = light.where("hub.fp <> other.fp").unionByName(frequent.join(ends, "token").select("token", "fp", "n", "hub", "other"))
-    shared = materialise(shared.select("token", "fp", "n", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-shared")
+    ends = frequent.groupBy("token").agg(low.alias("lo"), high.alias("hi")).where("lo <> hi")
+    shared = light.where("lo <> hi").unionByName(frequent.join(ends, "token").select("token", "fp", "n", "lo", "hi"))
+    shared = materialise(shared.select("token", "fp", "n"), "jaccard-shared")
     discard(postings)
 
-    # every set with the partner that it shares the most members with, among the smallest sets of its members
-    close = shared.where((F.col("hub") != F.col("fp")) & (100 * F.col("hub_n") >= need * F.col("n")))
-    often = close.groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n"))
-    often = often.where(F.col("k") >= _least_shared(F.col("n"), F.col("hub_n"), need))
-    pairs = often.groupBy("fp").agg(F.max(F.struct("k", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("fp").alias("b"))
-    pairs = materialise(pairs, "jaccard-pairs")
-    known = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = materialise(_sets(docs, known.join(firsts, "fp"), width), "jaccard-members")
-    links = materialise(_verified(pairs, sets, heavy, need), "jaccard-links")
-    labels = components(links)
+    # some rounds in which every set is compared with one leader only, of those outside its component: per member the
+    # leader is the set of least hash, another hash each round, and of its leaders a set takes the most frequent one
+    links, labels, sets, tried = None, None, None, None
+    for turn in range(LEADER_ROUNDS):
+        named = shared if labels is None else shared.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+        named = named.withColumn("label", F.col("fp") if labels is None else F.coalesce("label", "fp"))
+        leaders = named.groupBy("token").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "n", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        leaders = leaders.where("lo <> hi").select("token", F.col("x.fp").alias("hub"), F.col("x.n").alias("hub_n"), F.col("x.label").alias("hub_label"))
+        close = named.join(leaders, "token").where(F.col("label") != F.col("hub_label"))
+        often = close.groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n"))
+        large, small = F.greatest("n", "hub_n"), F.least("n", "hub_n")
+        often = often.where((100 * small >= need * large) & (4 * F.col("k") >= _least_shared(large, small, need)))
+        if tried is not None:
+            often = often.join(tried, ["fp", "hub"], "left_anti")
+        pairs = materialise(often.groupBy("fp").agg(F.max(F.struct("k", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("fp").alias("b")), "jaccard-pairs")
+        done = pairs.select(F.col("b").alias("fp"), F.col("a").alias("hub"))
+        tried = done if tried is None else tried.unionByName(done)
+        sets, both = _with_sets(docs, sets, pairs, firsts, width)
+        found = materialise(_verified(pairs, both, heavy, need), "jaccard-links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        if not found.limit(1).count():
+            break
 
     # all candidate pairs between different components
     labelled = shared.select("token", "fp", "n").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
@@ -278,12 +300,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     across = one.join(two, "token").where((F.col("la") != F.col("lb")) & order & (100 * F.col("na") >= need * F.col("nb")))
     met = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     across = materialise(met.where(F.col("k") >= _least_shared(F.col("nb"), F.col("na"), need)).select("a", "b"), "jaccard-across")
-    wanted = across.select(F.col("a").alias("fp")).unionByName(across.select(F.col("b").alias("fp"))).distinct()
-    more = wanted.join(known, "fp", "left_anti").join(firsts, "fp")
-    all_sets = sets.unionByName(_sets(docs, more, width))
+    sets, all_sets = _with_sets(docs, sets, across, firsts, width)
     late = materialise(_verified(across, all_sets, heavy, need), "jaccard-late-links")
     labels = components(links.unionByName(late))
-    for table in (pairs, open_tokens, across, sets, links, late):
+    for table in (open_tokens, across):
         discard(table)
 
     named = labels.withColumnRenamed("node", "fp").join(firsts, "fp")
