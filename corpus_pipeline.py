@@ -42,8 +42,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.mixed_documents(docs)
+    """The words that the mix of sources draws: whole documents, or runs of their words; n_chars follows a text that was cut."""
+    return mixing.mixed_documents(docs, n_chars="n_chars")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

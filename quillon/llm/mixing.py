@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import let, materialise, words
+from ._shared import SPACE_CLASS, WORD_CLASS, let, materialise, words
 
 #: No document is taken more often than this, so no target exceeds this times its source's size.
 MOST_REPEATS = 3
@@ -29,8 +29,8 @@ class Mix:
     """documents: one row per input row with doc_id, source, size, text_hash, source_size, target, taken.
 
     sources: source, source_rank, source_size, weight, target, n_blocks, n_slots. slots: shard, slot, source_rank,
-    pass_no, block: what each output slot holds. spans: source_rank, block, doc_id, text_hash, from_word, to_word: the
-    words of each document in each block.
+    pass_no, block: what each output slot holds. spans: source_rank, block, doc_id, text_hash, source, start, from_word,
+    to_word: the words of each document in each block; start is the document's place in its source's stream.
     """
 
     documents: DataFrame
@@ -150,16 +150,56 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     taken = pieces.join(uses, ["source_rank", "block"], "left").groupBy("source_rank", "start", *columns)
     taken = taken.agg(F.coalesce(F.sum((F.col("to_word") - F.col("from_word")) * F.col("uses")), F.lit(0)).cast("long").alias("taken"))
     documents = taken.select(*columns, "taken").unionByName(laid.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
-    return Mix(documents, sources, slots, pieces.select("source_rank", "block", "doc_id", "text_hash", "from_word", "to_word"))
+    return Mix(documents, sources, slots, pieces.select("source_rank", "block", "doc_id", "text_hash", "source", "start", "from_word", "to_word"))
 
 
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of docs as the mix takes them: each as often as its taken words, to the nearest whole, fill its size.
+def _runs(mixed: Mix) -> DataFrame:
+    """doc_id, text_hash, source, start, from_word, to_word: the drawn words of every document, once per pass over its source.
 
-    Documents without words are taken 0 times and go. Rows equal in id and text share their copies evenly.
+    Blocks that follow each other and are drawn in the same pass make one run.
     """
-    documents = mix(docs, doc_id, text, source, **options).documents
-    each = documents.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("__copies"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{text}`")))
-    joined = keyed.join(each, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash"))).where("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    row = ["doc_id", "text_hash", "source", "start"]
+    drawn = mixed.slots.select("source_rank", "pass_no", "block").join(mixed.spans, ["source_rank", "block"])
+    place = F.row_number().over(W.partitionBy(*row, "pass_no").orderBy("block"))
+    runs = drawn.withColumn("__run", F.col("block") - place).groupBy(*row, "pass_no", "__run")
+    return runs.agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word")).select(*row, "from_word", "to_word")
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str | None = None, **options) -> DataFrame:
+    """The words that the mix draws, as rows of docs: one row per run of a document's words, whose text is that run.
+
+    A pass over a source that takes all of a document gives it whole, with its text as it is; a run of a part of it
+    keeps the white space between and after its words. So a source's words are those of its slots, whatever the length
+    of its documents. Documents of which nothing is drawn go. n_chars names a column that follows a text that was cut.
+    """
+    mixed = mix(docs, doc_id, text, source, **options)
+
+    def key(i: Column, h: Column, s: Column) -> Column:
+        return F.xxhash64(i, i.isNull(), h, s, s.isNull())
+
+    # rows equal in id, text and source are documents of their own; which row stands for which does not matter
+    runs = _runs(mixed).groupBy(key(F.col("doc_id"), F.col("text_hash"), F.col("source")).alias("__key"), "start")
+    runs = runs.agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("runs"))
+    runs = runs.groupBy("__key").agg(F.collect_list("runs").alias("__runs"))
+    keyed = docs.withColumn("__key", key(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`")), F.col(f"`{source}`")))
+    joined = keyed.join(runs, "__key")
+    joined = joined.withColumn("__row", F.row_number().over(W.partitionBy("__key").orderBy("__key"))).where(F.col("__row") <= F.size("__runs"))
+
+    whole = F.col(f"`{text}`")
+    size = F.size(words(whole))
+    spaced = F.regexp_extract_all(whole, F.lit(f"{WORD_CLASS}++{SPACE_CLASS}*+"), F.lit(0))
+
+    def texts(n: Column) -> Column:
+        def cut(parts: Column) -> Column:
+            return F.transform(
+                F.col("__runs")[F.col("__row") - 1],
+                lambda r: F.when(r["to_word"] - r["from_word"] == n, whole).otherwise(F.array_join(F.slice(parts, r["from_word"].cast("int") + 1, (r["to_word"] - r["from_word"]).cast("int")), "")),
+            )
+
+        return let(spaced, cut)
+
+    out = joined.withColumn("__text", F.explode(let(size, texts)))
+    changed = {text: F.col("__text")}
+    if n_chars is not None:
+        changed[n_chars] = F.when(F.col("__text") == whole, F.col(f"`{n_chars}`")).otherwise(F.length("__text").cast(docs.schema[n_chars].dataType))
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
