@@ -74,8 +74,9 @@ class _Ragged:
 class PieceEncoder:
     """encode(texts) gives all ids (uint32) and each text's number of ids, as the tokenizer's encode() would.
 
-    The tokenizer splits letters from a closing full stop or comma and lowers case, so "The," is looked up as the
-    core "the" and the tail ","; only cores go to the tokenizer.
+    The tokenizer splits ASCII letters from a closing full stop or comma and lowers case, so "The," is looked up as the
+    core "the" and the tail ",". Other letters may become a letter and a mark, which the tokenizer joins to what
+    follows, so every other piece goes to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -94,8 +95,8 @@ class PieceEncoder:
         look, parts = self.cores.__getitem__, []
         for piece in new:
             core = piece[:-1]
-            if piece[-1:] in (".", ",") and core.isalpha():
-                parts.append(look(core.lower() if core.isascii() else core))
+            if piece[-1:] in (".", ",") and core.isalpha() and core.isascii():
+                parts.append(look(core.lower()))
                 parts.append(look(piece[-1]))
             elif piece.isalpha() and piece.isascii():
                 parts.append(look(piece.lower()))
