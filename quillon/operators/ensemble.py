@@ -6,10 +6,13 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .knn import BLOCK
+
 
 def combine(columns: Sequence[str], how: str = "mean", weights: Sequence[float] | None = None) -> Column:
     """Row-wise mean, median, weighted mean, std (population), lower (mean - std) or upper (mean + std)."""
@@ -89,13 +92,40 @@ def hall_of_fame(population: DataFrame, k: int) -> DataFrame:
 def dominated_novelty(population: DataFrame, vector: str, k: int) -> DataFrame:
     """ind_id, novelty: mean cosine distance to the k nearest among fitter individuals; infinite for those without one.
 
-    The population is one generation's individuals, so the join on "fitter than" is over that small table.
+    Fitter is a lower fitness, or the same with a smaller id. Blocks of the population meet as in knn(): each pair of
+    blocks gives its k nearest at most, so no pair of individuals leaves a task. Vectors that are null, zero or not
+    finite have no distance: they are nobody's neighbours and have none.
     """
-    a, b = population.alias("a"), population.alias("b")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    va, vb = F.col(f"a.{vector}").cast("array<double>"), F.col(f"b.{vector}").cast("array<double>")
-    cosine = F.lit(1.0) - dot(va, vb) / F.sqrt(dot(va, va) * dot(vb, vb))
-    fitter = (F.col("b.fitness") < F.col("a.fitness")) | ((F.col("b.fitness") == F.col("a.fitness")) & (F.col("b.ind_id") < F.col("a.ind_id")))
-    pairs = a.join(b, fitter, "left").select(F.col("a.ind_id").alias("ind_id"), F.col("b.ind_id").alias("other"), cosine.alias("d"))
-    near = pairs.withColumn("r", F.row_number().over(W.partitionBy("ind_id").orderBy("d", "other"))).where(F.col("r") <= k)
-    return near.groupBy("ind_id").agg(F.coalesce(F.avg("d"), F.lit(float("inf"))).alias("novelty"))
+    blocks = max(1, -(-population.count() // BLOCK))
+    rows = population.select("ind_id", F.col("fitness").cast("double").alias("f"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    rows = rows.where("f IS NOT NULL AND v IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("ind_id"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.withColumnRenamed("own", "q").withColumn("d", other)
+    right = rows.withColumnRenamed("own", "d").withColumn("q", other)
+
+    def near(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = _directed(a), _directed(b)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"ind_id": [], "other": [], "d": []})
+        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        d = 1.0 - x @ y.T
+        fa, fb, ids, others = a["f"].to_numpy()[:, None], b["f"].to_numpy()[None, :], a["ind_id"].to_numpy(), b["ind_id"].to_numpy()
+        d[~((fb < fa) | ((fb == fa) & (others[None, :] < ids[:, None])))] = np.inf
+        take = min(len(others), k)
+        part = np.argpartition(d, take - 1, axis=1)[:, :take]
+        out = pd.DataFrame({"ind_id": np.repeat(ids, take), "other": others[part.ravel()], "d": np.take_along_axis(d, part, 1).ravel()})
+        return out[np.isfinite(out["d"])]
+
+    kind = population.schema["ind_id"].dataType.simpleString()
+    found = left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInPandas(near, f"ind_id {kind}, other {kind}, d double")
+    best = found.withColumn("r", F.row_number().over(W.partitionBy("ind_id").orderBy("d", "other"))).where(F.col("r") <= k)
+    mean = best.groupBy("ind_id").agg(F.avg("d").alias("novelty"))
+    return population.select("ind_id").distinct().join(mean, "ind_id", "left").select("ind_id", F.coalesce("novelty", F.lit(float("inf"))).alias("novelty"))
+
+
+def _directed(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows whose vector has a direction, with the vector at length 1."""
+    vectors = [np.asarray(v, np.float64) for v in rows["v"]]
+    length = np.array([np.sqrt(v @ v) for v in vectors], np.float64)
+    good = np.isfinite(length) & (length > 0)
+    return rows[good].assign(v=[v / n for v, n, g in zip(vectors, length, good, strict=True) if g])

@@ -560,7 +560,7 @@ _NOVEL = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DO
 
 @query("dominated_novelty", f"WITH p AS (SELECT vec_id AS ind_id, embedding, CAST(label * 100 + vec_id % 7 AS DOUBLE) AS fitness FROM embeddings WHERE vec_id < 120), d AS (SELECT a.ind_id, b.ind_id AS other, 1.0 - {_NOVEL} / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS d FROM p a JOIN p b ON b.fitness < a.fitness OR (b.fitness = a.fitness AND b.ind_id < a.ind_id)), r AS (SELECT *, row_number() OVER (PARTITION BY ind_id ORDER BY d, other) AS r FROM d) SELECT ind_id, {_q('coalesce(avg(d), -1.0)')} AS novelty FROM (SELECT ind_id FROM p) LEFT JOIN (SELECT * FROM r WHERE r <= 3) USING (ind_id) GROUP BY ind_id")
 def dominated_novelty(spark: SparkSession, sf: str) -> DataFrame:
-    generation = _t(spark, sf, "embeddings").where("vec_id < 120").select(F.col("vec_id").alias("ind_id"), "embedding", (F.col("label") * 100 + F.col("vec_id") % 7).cast("double").alias("fitness"))
+    generation = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("ind_id"), "embedding", (F.col("label") * 100 + F.col("vec_id") % 7).cast("double").alias("fitness"))
     out = ensemble.dominated_novelty(generation, "embedding", 3)
     return out.select("ind_id", _r(F.when(F.col("novelty") == float("inf"), -1.0).otherwise(F.col("novelty"))).alias("novelty"))
 
