@@ -123,7 +123,7 @@ def _classes(counts: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: doc_id, n (set size), fp (set id); and per task one row with the task's sketch."""
+    """Per row: doc_id, n (set size), fp (set id), text_hash; and per task one row with the task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim_worker()
@@ -134,10 +134,10 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(members))
                 ids.append(fingerprint(members))
                 np.add.at(counts, (members & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=["doc_id", "n", "fp", "sketch"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()])], names=["doc_id", "n", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), batch.column(2), pa.nulls(len(sizes), pa.binary())], names=["doc_id", "n", "fp", "text_hash", "sketch"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([counts.tobytes()])], names=["doc_id", "n", "fp", "text_hash", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp long, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, fp long, text_hash long, sketch binary")
 
 
 def _sum_sketches(described: DataFrame) -> np.ndarray:
@@ -216,10 +216,14 @@ def _linked(one: np.ndarray, two: np.ndarray, heavy: np.ndarray, need: int) -> b
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """fp, members (sorted, as bytes) of the wanted (fp, doc_id) sets, from the texts of these documents."""
+    """fp, members (sorted, as bytes) of the wanted (fp, doc_id, text_hash) sets, from the texts of these documents.
+
+    Sets that only rows without an id hold are found by their text's hash, so a null id is as good as any.
+    """
     few = wanted.count() <= MAX_BROADCAST_IDS
-    ids = wanted.select(F.col("fp").alias("__fp"), "doc_id")
-    chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id").select("__fp", "text")
+    ids = wanted.select(F.col("fp").alias("__fp"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    chosen = docs.join(F.broadcast(ids) if few else ids, same).select("__fp", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim_worker()
@@ -253,7 +257,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     described = materialise(_describe(docs, width), "jaccard-sets")
     heavy = _classes(_sum_sketches(described))
     rows = described.where("sketch IS NULL").drop("sketch")
-    firsts = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x")
+    firsts = rows.where("n > 0").groupBy("fp").agg(first).select("fp", "x.doc_id", "x.text_hash")
 
     postings = materialise(_postings(docs, heavy, width, need), "jaccard-postings")
     low, high = F.min("fp"), F.max("fp")
