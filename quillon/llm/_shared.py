@@ -82,13 +82,13 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def trim_worker() -> None:
-    """In a Python worker: drop the token cache that an earlier task left, and give freed memory back.
+def trim_worker(keep: bool = False) -> None:
+    """In a Python worker: drop the token cache that an earlier task left, unless told to keep it, and give freed memory back.
 
     Workers outlive tasks and are shared by all operators; a task with large arrays of its own begins with this.
     """
     tokens = sys.modules.get("quillon.llm.tokens")
-    if tokens is not None:
+    if tokens is not None and not keep:
         tokens._encoders.clear()
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # not every C library can

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import materialise
-from .tokens import DOCS_AT_ONCE, encoder, with_end
+from ._shared import materialise, trim_worker
+from .tokens import encoder, slices, with_end
 
 #: The looked-up runs are broadcast; beyond so many they are joined by shuffling instead.
 MAX_BROADCAST_RUNS = 200_000
@@ -37,8 +37,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, DOCS_AT_ONCE) for b in batches for at in range(0, b.num_rows, DOCS_AT_ONCE)):
-            ids, counts = with_end(*encoder(vocabulary).encode(batch.column(1).to_pylist()), end_id)
+        trim_worker(keep=True)
+        for batch in (b.slice(at, end - at) for b in batches for at, end in slices(b.column(1))):
+            ids, counts = with_end(*encoder(vocabulary).encode(batch.column(1)), end_id)
             n_pieces = -(-counts // capacity)
             doc = np.repeat(np.arange(len(counts)), n_pieces)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)

@@ -1,7 +1,8 @@
 """Token ids by a public tokenizer, and a binary table of ids in Simple-8b words.
 
-Encoding: the tokenizer never merges across a space or a line feed, so a text is cut at those and every distinct piece
-is encoded once per worker by the tokenizers library; a bounded cache keeps the ids of pieces seen before.
+Encoding: a tokenizer whose normaliser and splitter are the known ones (SPLITTING) never joins anything across a space
+or a line feed, so texts are cut at those, the distinct pieces of a slice are found by Arrow, and each is encoded once;
+a bounded cache keeps the ids of pieces seen before. Texts for any other tokenizer are encoded whole.
 
 File format: a folder of Parquet files whose rows are chunks of whole documents in ascending order. A chunk holds the
 documents' ids and lengths, the ids as 64-bit words, and the word offset of each block of BLOCK ids. A word's top four
@@ -11,27 +12,43 @@ bits select how many values share the other 60 bits (SELECTORS); selector 1 is a
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import materialise
+from ._shared import materialise, trim_worker
 
 #: Fixed values of the format: selector -> (values in a word, bits of each); None marks the escape.
 SELECTORS = [(240, 0), None, (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 1
 BLOCK = 512
 CHUNK_IDS = 1 << 17
-#: Documents whose ids are held at once besides a chunk's.
-DOCS_AT_ONCE = 500
-#: Texts are encoded in slices of about so many characters, and the cache is emptied beyond so many pieces or characters.
-SLICE_CHARS, CACHE_PIECES, CACHE_CHARS = 1_000_000, 800_000, 24_000_000
+#: Texts are encoded in slices of about so many bytes; the cache is emptied beyond so many pieces or characters of them.
+SLICE_BYTES, CACHE_PIECES, CACHE_CHARS = 4_000_000, 600_000, 12_000_000
+#: Letters that lower-casing and composing leave single letters, whatever stands beside them.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Tables of at most so many parts have their parts' bases broadcast.
+MAX_BROADCAST_PARTS = 1_000_000
+#: The normaliser and splitter for which pieces between spaces and line feeds are encoded one by one.
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class _Places(dict):
@@ -74,71 +91,94 @@ class _Ragged:
 class PieceEncoder:
     """encode(texts) gives all ids (uint32) and each text's number of ids, as the tokenizer's encode() would.
 
-    The tokenizer splits ASCII letters from a closing full stop or comma and lowers case, so "The," is looked up as the
-    core "the" and the tail ",". Other letters may become a letter and a mark, which the tokenizer joins to what
-    follows, so every other piece goes to the tokenizer whole.
+    A piece of LATIN letters is one word to the tokenizer's model, and so is one before a closing full stop or comma;
+    the model is asked for its lower-case form directly. Other letters may become a letter and a mark, which the
+    tokenizer joins to what follows, so every other piece goes through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        described = json.loads(self.tokenizer.to_str())
+        self.cuts = all(described[k] == v for k, v in SPLITTING.items())
+        self.model, self.plain = self.tokenizer.model, re.compile(f"([{LATIN}]+)([.,]?)").fullmatch
+        spelt = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spelt(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self._clear()
 
     def _clear(self) -> None:
-        self.pieces, self.cores, self.chars = _Places(), _Places(), 0
-        self.piece_ids, self.core_ids = _Ragged(), _Ragged()
+        self.pieces, self.chars, self.piece_ids = _Places(), 0, _Ragged()
+
+    def _word(self, word: str) -> list[int]:
+        word = word.lower()
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelling))]
 
     def _learn(self) -> None:
+        """Take the ids of the pieces that are new."""
         new, self.pieces.new = self.pieces.new, []
-        look, parts = self.cores.__getitem__, []
-        for piece in new:
-            core = piece[:-1]
-            if piece[-1:] in (".", ",") and core.isalpha() and core.isascii():
-                parts.append(look(core.lower()))
-                parts.append(look(piece[-1]))
-            elif piece.isalpha() and piece.isascii():
-                parts.append(look(piece.lower()))
-                parts.append(look(""))
-            else:
-                parts.append(look(piece))
-                parts.append(look(""))
-        cores, self.cores.new = self.cores.new, []
-        if cores:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(cores, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.core_ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
-        ids, lengths = self.core_ids.take(np.array(parts, np.int64))
-        self.piece_ids.add(ids, lengths[::2] + lengths[1::2])
+        tails = {"": [], ".": self._word("."), ",": self._word(",")}
+        ids = [self._word(m[1]) + tails[m[2]] if (m := self.plain(piece)) else None for piece in new]
+        others = [k for k, found in enumerate(ids) if found is None]
+        for k, e in zip(others, self.tokenizer.encode_batch_fast([new[k] for k in others], add_special_tokens=False), strict=True):
+            ids[k] = e.ids
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.piece_ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
         self.chars += sum(map(len, new))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts, counts, at = [], [], 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars < SLICE_CHARS):
-                chars += len(texts[end])
-                end += 1
-            ids, n = self._slice(texts[at:end])
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        parts, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at, end in slices(column):
+            ids, n = self._slice(column.slice(at, end - at))
             parts.append(ids)
             counts.append(n)
-            at = end
-        return (np.concatenate(parts), np.concatenate(counts)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-
-    def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(parts), np.concatenate(counts)
+
+    def _slice(self, texts: pa.Array, cut: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        if not self.cuts:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), n
+        if cut and len(texts) == 1 and len(texts[0].as_buffer()) > 2 * SLICE_BYTES:  # a long text, part by part
+            parts = [self._slice(pa.array([part], pa.string()), False) for part in _at_spaces(texts[0].as_py())]
+            return np.concatenate([ids for ids, _ in parts]), np.array([sum(int(n[0]) for _, n in parts)], np.int64)
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        sizes = pc.list_value_length(pieces).to_numpy().astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
         if len(self.pieces) > CACHE_PIECES or self.chars > CACHE_CHARS:
             self._clear()
-        lined = [t.replace("\n", " ") for t in texts]
-        sizes = np.fromiter((t.count(" ") + 1 for t in lined), np.int64, len(lined))
-        where = np.fromiter(map(self.pieces.__getitem__, " ".join(lined).split(" ")), np.int64, int(sizes.sum()))
+        places = np.fromiter(map(self.pieces.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         if self.pieces.new:
             self._learn()
-        ids, lengths = self.piece_ids.take(where)
+        ids, lengths = self.piece_ids.take(places[coded.indices.to_numpy()])
         upto = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes)]
         return ids, np.diff(upto, prepend=0)
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts (without nulls) of about SLICE_BYTES; a longer text is one by itself."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        base = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, base + SLICE_BYTES, side="right")))
+        yield at, end
+        at = end
+
+
+def _at_spaces(text: str) -> Iterator[str]:
+    """text in parts of about SLICE_BYTES characters, cut before a space; a part without one is longer."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + SLICE_BYTES)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -258,6 +298,7 @@ def write_ids(docs: DataFrame, vocabulary: str, name: str, end_id: int, doc_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        trim_worker(keep=True)
         part, chunk, before = TaskContext.get().partitionId(), 0, 0
         names, ids, sizes, held = [], [], [], 0
 
@@ -270,16 +311,21 @@ def write_ids(docs: DataFrame, vocabulary: str, name: str, end_id: int, doc_id:
             names, ids, sizes, held = [], [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=CHUNK_ARROW)
 
-        for batch in (b.slice(at, DOCS_AT_ONCE) for b in batches for at in range(0, b.num_rows, DOCS_AT_ONCE)):
-            values, counts = with_end(*encoder(vocabulary).encode(batch.column(1).to_pylist()), end_id)
-            at = 0
-            for key, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
-                names.append(key)
-                sizes.append(n)
-                ids.append(values[at : at + n])
-                at, held = at + n, held + n
-                if held >= CHUNK_IDS:
-                    yield flush()
+        for batch in batches:
+            for first, last in slices(batch.column(1)):
+                values, counts = with_end(*encoder(vocabulary).encode(batch.column(1).slice(first, last - first)), end_id)
+                upto, at = np.cumsum(counts), 0
+                keys = batch.column(0).slice(first, last - first).to_pylist()
+                while at < len(counts):  # as many documents as fill the chunk
+                    base = int(upto[at - 1]) if at else 0
+                    end = min(len(counts), int(np.searchsorted(upto, base + CHUNK_IDS - held)) + 1)
+                    names += keys[at:end]
+                    sizes += counts[at:end].tolist()
+                    ids.append(values[base : upto[end - 1]])
+                    held += int(upto[end - 1]) - base
+                    at = end
+                    if held >= CHUNK_IDS:
+                        yield flush()
         if names:
             yield flush()
 
@@ -295,22 +341,22 @@ def read_ids(table: DataFrame) -> DataFrame:
 
     ids is binary: little-endian unsigned 32-bit integers.
     """
-    by_part = table.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("n"))
+    by_part = table.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("n"))  # one row per task that wrote
     base = by_part.select("part", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("base"))
+    few = by_part.count() <= MAX_BROADCAST_PARTS
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_worker(keep=True)
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.array(row["sizes"], np.int64)
-                values = unpack_words(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["offsets"], np.uint32), row["n_ids"])
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                start, n_ids, names, held, offsets, words = (row.column(i) for i in range(6))
+                sizes = held.flatten().to_numpy()
+                values = unpack_words(np.frombuffer(words[0].as_buffer(), np.uint64), np.frombuffer(offsets[0].as_buffer(), np.uint32), n_ids[0].as_py())
                 ends = np.cumsum(sizes)
-                raw = pa.py_buffer(values.astype("<u4"))
                 bounds = pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int32))
-                ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, bounds, raw])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["part"]] * len(sizes), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["before"] + ends - sizes), pa.array(sizes), ids],
-                    names=["part", "doc_id", "inner", "n_tokens", "ids"],
-                )
-
-    docs = table.mapInArrow(decode, "part int, doc_id long, inner long, n_tokens long, ids binary")
-    return docs.join(base, "part").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids")
+                ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, bounds, pa.py_buffer(values.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([names.flatten(), pa.array(start[0].as_py() + ends - sizes), pa.array(sizes), ids], names=["doc_id", "start", "n_tokens", "ids"])
+
+    chunks = table.join(F.broadcast(base) if few else base, "part")
+    return chunks.select(F.col("base") + F.col("before"), "n_ids", "doc_ids", "sizes", "offsets", "words").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
