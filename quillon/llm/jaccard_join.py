@@ -1,14 +1,17 @@
 """Exact Jaccard join of documents on word shingles, by prefixes under several global token orders.
 
 A document's set is its distinct shingles, as 64-bit hashes. Under any order of all shingles, two sets with a Jaccard
-similarity of at least t share one of their first n - ceil(t n) + 1 members; the orders here all put shingles that a
-corpus-wide count sketch marks as frequent last, and differ in the hash that orders the rest. Sharing enough prefix
-members under the first order makes a pair of sets a candidate; it must share some under each other order too, and
-what is left after all these filters is verified on the whole sets.
-
-Links are wanted up to connectivity, so a frequent member does not give all pairs of its sets. First, in some
-rounds, every set is compared with one leader only, which it shares members with; the links found make components. Then all candidate pairs between different components, and only these, are filtered and verified, so no
-link between different texts is lost. Sets that are equal are one set throughout.
+similarity of at least t share one of their first n - ceil(t n) + 1 members, and the first member they share has so
+few before it in either set that the rest can hold the overlap that t asks for. The first order puts shingles that a
+corpus-wide count sketch marks as frequent last and follows a hash otherwise; every set's prefix under it is posted.
+
+Links are wanted up to connectivity, so a frequent member does not give all pairs of its sets. First, in some rounds,
+every set is compared with one leader only, which it shares members with; the links found make components. What is
+left are pairs between different components. Where the first shared member is in few sets, it names the pair. The sets
+of members in many sets are few; they must also share a prefix member under a second order, the exact frequency among
+these sets, which puts what sets have to themselves first. Only pairs that pass are fetched; they must share prefix
+members under two further hash orders, and then whole sets are compared. So no link between different texts is lost.
+Sets that are equal are one set throughout.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ SKETCH = 1 << 18
 MAX_BROADCAST_IDS = 500_000
 #: Rounds of comparing every set with one leader before all pairs between components are looked at.
 LEADER_ROUNDS = 4
+#: A member in fewer sets than this names its pairs; the sets of other members go by the second order.
+MANY = 16
+#: Sketches that one task sums.
+SKETCHES_AT_ONCE = 64
 #: Multipliers that make the token orders; the first gives the candidates.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -104,15 +111,14 @@ def fingerprint(members: np.ndarray) -> int:
 
 
 def _prefix(members: np.ndarray, heavy: np.ndarray, order: int, need: int) -> np.ndarray:
-    """The first members under an order that one of any partner's first members must equal."""
+    """The first members under an order, in that order, one of which is among any partner's first members."""
     n = len(members)
-    size = n - -(-need * n // 100) + 1
-    if size >= n:
-        return members
+    size = min(n, n - -(-need * n // 100) + 1)
     with np.errstate(over="ignore"):
         rank = _mix(members * np.uint64(order)) >> np.uint64(6)
     rank |= heavy[(members & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-    return members[np.argpartition(rank, size - 1)[:size]]
+    first = np.argpartition(rank, size - 1)[:size]
+    return members[first[np.argsort(rank[first])]]
 
 
 def _classes(counts: np.ndarray) -> np.ndarray:
@@ -140,20 +146,29 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, fp long, text_hash long, sketch binary")
 
 
+def _counters(sketch: bytes) -> np.ndarray:
+    """The counters of a task's sketch (32 bits each) or of a sum of them (64 bits)."""
+    return np.frombuffer(sketch, np.uint32 if len(sketch) == 4 * SKETCH else np.int64).astype(np.int64)
+
+
 def _sum_sketches(described: DataFrame) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                counts += np.frombuffer(x, np.uint32)
+                counts += _counters(x)
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()])], names=["sketch"])
 
-    parts = described.where("sketch IS NOT NULL").select("sketch").repartition(8).mapInArrow(add, "sketch binary").collect()  # 8 arrays of SKETCH counters
-    return np.sum([np.frombuffer(p["sketch"], np.int64) for p in parts], axis=0) if parts else np.zeros(SKETCH, np.int64)
+    parts = described.where("sketch IS NOT NULL").select("sketch")
+    left = parts.count()
+    while left > 8:  # a tree of sums, until 8 arrays of SKETCH counters are left to collect
+        left = max(8, -(-left // SKETCHES_AT_ONCE))
+        parts = parts.repartition(left).mapInArrow(add, "sketch binary")
+    return np.sum([_counters(p["sketch"]) for p in parts.collect()], axis=0) if left else np.zeros(SKETCH, np.int64)
 
 
 def _postings(docs: DataFrame, heavy: np.ndarray, width: int, need: int) -> DataFrame:
-    """token, heavy (whether the sketch marks it), fp, n: the first order's prefix of every set, once per task."""
+    """token, heavy (whether the sketch marks it), fp, n, pos: the first order's prefix of every set, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim_worker()
@@ -169,12 +184,57 @@ def _postings(docs: DataFrame, heavy: np.ndarray, width: int, need: int) -> Data
                 ids.append(fp)
                 sizes.append(len(members))
             if tokens:
-                flat, each = np.concatenate(tokens), np.fromiter(map(len, tokens), np.int64, len(tokens))
-                marked = heavy[(flat & np.uint64(SKETCH - 1)).astype(np.int64)] > 0
-                columns = [pa.array(flat.view(np.int64)), pa.array(marked), pa.array(np.repeat(np.array(ids, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "heavy", "fp", "n"])
+                yield _posted(tokens, ids, sizes, heavy)
+
+    return docs.select("text").mapInArrow(run, POSTING)
+
+
+POSTING = "token long, heavy boolean, fp long, n int, pos int"
+
 
-    return docs.select("text").mapInArrow(run, "token long, heavy boolean, fp long, n int")
+def _posted(tokens: list[np.ndarray], ids: list[int], sizes: list[int], heavy: np.ndarray) -> pa.RecordBatch:
+    flat, each = np.concatenate(tokens), np.fromiter(map(len, tokens), np.int64, len(tokens))
+    marked = heavy[(flat & np.uint64(SKETCH - 1)).astype(np.int64)] > 0
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(each) - each, each)
+    columns = [flat.view(np.int64), marked, np.repeat(np.array(ids, np.int64), each), np.repeat(np.array(sizes, np.int32), each), place.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "heavy", "fp", "n", "pos"])
+
+
+def _members(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """All members of the sets (fp, members), as postings in no order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_worker()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                tokens = [np.frombuffer(m.as_buffer(), np.uint64) for m in part.column(1)]
+                yield _posted(tokens, part.column(0).to_pylist(), [len(t) for t in tokens], heavy)
+
+    return sets.select("fp", "members").mapInArrow(run, POSTING)
+
+
+def _counted(postings: DataFrame, value: str) -> DataFrame:
+    """The distinct postings of tokens that have more than one value, with lo, hi (of the value) and c (postings) of their token.
+
+    Tokens that the sketch marks are counted by partial aggregates and joined back, so none of them is one task's.
+    """
+    low, high, many = F.min(value), F.max(value), F.count(F.lit(1))
+    by_token = W.partitionBy("token")
+    light = postings.where("NOT heavy").select("*", low.over(by_token).alias("lo"), high.over(by_token).alias("hi"), many.over(by_token).alias("c"))
+    frequent = postings.where("heavy")
+    ends = frequent.groupBy("token").agg(low.alias("lo"), high.alias("hi"), many.alias("c")).where("lo <> hi")
+    return light.where("lo <> hi").distinct().unionByName(frequent.join(ends, "token").select(*light.columns).distinct())
+
+
+def _across(postings: DataFrame, need: int) -> DataFrame:
+    """Pairs (a, b) of sets of different labels that a shared token can be the first shared one of, given its places."""
+    one, two = (postings.select("token", F.col("fp").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("p" + x), F.col("label").alias("l" + x)) for x in "ab")
+    na, nb = F.col("na"), F.col("nb")
+    order = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
+    overlap = F.ceil((na + nb) * need / F.lit(100 + need))
+    fits = (100 * na >= need * nb) & (na - F.col("pa") >= overlap) & (nb - F.col("pb") >= overlap)
+    return one.join(two, "token").where((F.col("la") != F.col("lb")) & order & fits).select("a", "b").distinct()
 
 
 def _least_shared(n: Column, m: Column, need: int) -> Column:
@@ -237,15 +297,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return chosen.mapInArrow(run, "fp long, members binary").dropDuplicates(["fp"])
 
 
-def _with_sets(docs: DataFrame, sets: DataFrame | None, pairs: DataFrame, firsts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """All sets fetched so far, with those of the pairs; and the latter among them, which the pairs need."""
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+def _with_sets(docs: DataFrame, sets: DataFrame | None, wanted: DataFrame, firsts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """All sets fetched so far, with the wanted ones (fp); and these alone."""
     lacking = wanted if sets is None else wanted.join(sets.select("fp"), "fp", "left_anti")
     more = materialise(_sets(docs, lacking.join(firsts, "fp"), width), "jaccard-members")
     sets = more if sets is None else sets.unionByName(more)
     return sets, sets.join(wanted, "fp", "left_semi")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, need: int = 75) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included).
 
@@ -261,13 +324,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     firsts = rows.where("n > 0").groupBy("fp").agg(first).select("fp", "x.doc_id", "x.text_hash")
 
     postings = materialise(_postings(docs, heavy, width, need), "jaccard-postings")
-    low, high = F.min("fp"), F.max("fp")
-    by_token = W.partitionBy("token")
-    light = postings.where("NOT heavy").select("token", "fp", "n", low.over(by_token).alias("lo"), high.over(by_token).alias("hi"))
-    frequent = postings.where("heavy").select("token", "fp", "n")
-    ends = frequent.groupBy("token").agg(low.alias("lo"), high.alias("hi")).where("lo <> hi")
-    shared = light.where("lo <> hi").unionByName(frequent.join(ends, "token").select("token", "fp", "n", "lo", "hi"))
-    shared = materialise(shared.select("token", "fp", "n"), "jaccard-shared")
+    shared = materialise(_counted(postings, "fp").select("token", "heavy", "fp", "n", "pos"), "jaccard-shared")
     discard(postings)
 
     # some rounds in which every set is compared with one leader only, of those outside its component: per member the
@@ -287,28 +344,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = materialise(often.groupBy("fp").agg(F.max(F.struct("k", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("fp").alias("b")), "jaccard-pairs")
         done = pairs.select(F.col("b").alias("fp"), F.col("a").alias("hub"))
         tried = done if tried is None else tried.unionByName(done)
-        sets, both = _with_sets(docs, sets, pairs, firsts, width)
+        sets, both = _with_sets(docs, sets, _ends(pairs), firsts, width)
         found = materialise(_verified(pairs, both, heavy, need), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if not found.limit(1).count():
             break
 
-    # all candidate pairs between different components
-    labelled = shared.select("token", "fp", "n").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    open_tokens = materialise(labelled.join(mixed, "token").distinct(), "jaccard-open")
+    # all candidate pairs between different components: by the tokens of few sets, and of the sets of all other tokens by
+    # the exact frequency among these sets
+    in_component = labels.withColumnRenamed("node", "fp")
+    labelled = shared.join(in_component, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    open_tokens = materialise(_counted(labelled, "label").drop("lo", "hi"), "jaccard-open")
     discard(shared)
-    one = open_tokens.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    two = open_tokens.select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    across = one.join(two, "token").where((F.col("la") != F.col("lb")) & order & (100 * F.col("na") >= need * F.col("nb")))
-    met = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    across = materialise(met.where(F.col("k") >= _least_shared(F.col("nb"), F.col("na"), need)).select("a", "b"), "jaccard-across")
-    sets, all_sets = _with_sets(docs, sets, across, firsts, width)
+    crowd = materialise(open_tokens.where(F.col("c") >= MANY).select("fp", "label").distinct(), "jaccard-crowd")
+    sets, crowded = _with_sets(docs, sets, crowd.select("fp"), firsts, width)
+    ranked = _counted(_members(crowded, heavy), "fp")
+    place = F.row_number().over(W.partitionBy("fp").orderBy("c", "token")) - 1 + F.col("n") - F.count(F.lit(1)).over(W.partitionBy("fp"))
+    ranked = ranked.withColumn("pos", place).where(100 * (F.col("n") - F.col("pos")) >= need * F.col("n"))
+    ranked = materialise(ranked.join(crowd, "fp").select("token", "fp", "n", "pos", "label"), "jaccard-ranked")
+    across = _across(open_tokens.where(F.col("c") < MANY), need).unionByName(_across(ranked, need)).distinct()
+    across = materialise(across, "jaccard-across")
+    sets, all_sets = _with_sets(docs, sets, _ends(across), firsts, width)
     late = materialise(_verified(across, all_sets, heavy, need), "jaccard-late-links")
     labels = components(links.unionByName(late))
-    for table in (open_tokens, across):
+    for table in (open_tokens, crowd, ranked, across):
         discard(table)
 
     named = labels.withColumnRenamed("node", "fp").join(firsts, "fp")
