@@ -7,11 +7,12 @@ corpus-wide count sketch marks as frequent last and follows a hash otherwise; ev
 
 Links are wanted up to connectivity, so a frequent member does not give all pairs of its sets. First, in some rounds,
 every set is compared with one leader only, which it shares members with; the links found make components. What is
-left are pairs between different components. Where the first shared member is in few sets, it names the pair. The sets
-of members in many sets are few; they must also share a prefix member under a second order, the exact frequency among
-these sets, which puts what sets have to themselves first. Only pairs that pass are fetched; they must share prefix
-members under two further hash orders, and then whole sets are compared. So no link between different texts is lost.
-Sets that are equal are one set throughout.
+left are pairs between different components. Sets that share a good part of their prefix with other components are the
+crowd: two of them must also share a prefix member under a second order, the exact frequency among the crowd, which
+puts what sets have to themselves first. Any other pair is named by its first shared member under the first order, and
+can only be of two sizes for which the few members that the less crowded set shares are enough. Only pairs that pass
+are fetched; they must share prefix members under two further hash orders, and then whole sets are compared. So no link
+between different texts is lost. Sets that are equal are one set throughout.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ SKETCH = 1 << 18
 #: Sets whose ids are this few are looked up by broadcast, more by shuffling.
 MAX_BROADCAST_IDS = 500_000
 #: Rounds of comparing every set with one leader before all pairs between components are looked at.
-LEADER_ROUNDS = 4
-#: A member in fewer sets than this names its pairs; the sets of other members go by the second order.
-MANY = 16
+LEADER_ROUNDS = 3
+#: Sets that share so many hundredths of their prefix with other components go by the second order among themselves.
+CROWDED = 20
 #: Sketches that one task sums.
 SKETCHES_AT_ONCE = 64
 #: Multipliers that make the token orders; the first gives the candidates.
@@ -227,14 +228,21 @@ def _counted(postings: DataFrame, value: str) -> DataFrame:
     return light.where("lo <> hi").distinct().unionByName(frequent.join(ends, "token").select(*light.columns).distinct())
 
 
-def _across(postings: DataFrame, need: int) -> DataFrame:
-    """Pairs (a, b) of sets of different labels that a shared token can be the first shared one of, given its places."""
-    one, two = (postings.select("token", F.col("fp").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("p" + x), F.col("label").alias("l" + x)) for x in "ab")
+def _across(postings: DataFrame, need: int, crowd: bool) -> DataFrame:
+    """Pairs (a, b) of sets of different labels that a shared token can be the first shared one of, given its places.
+
+    Of pairs within the crowd none are given unless the postings are the crowd's own; of other pairs those whose sets
+    both have as many open postings (o) as members of their prefixes must be shared.
+    """
+    one, two = (postings.select("token", *(F.col(c).alias(c + x) for c in ("fp", "n", "pos", "label", "o", "crowded"))) for x in "ab")
     na, nb = F.col("na"), F.col("nb")
-    order = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
+    order = (na < nb) | ((na == nb) & (F.col("fpa") < F.col("fpb")))
     overlap = F.ceil((na + nb) * need / F.lit(100 + need))
-    fits = (100 * na >= need * nb) & (na - F.col("pa") >= overlap) & (nb - F.col("pb") >= overlap)
-    return one.join(two, "token").where((F.col("la") != F.col("lb")) & order & fits).select("a", "b").distinct()
+    fits = (100 * na >= need * nb) & (na - F.col("posa") >= overlap) & (nb - F.col("posb") >= overlap)
+    if not crowd:
+        fits = fits & ~(F.col("crowdeda") & F.col("crowdedb")) & (F.least("oa", "ob") >= _least_shared(nb, na, need))
+    met = one.join(two, "token").where((F.col("labela") != F.col("labelb")) & order & fits)
+    return met.select(F.col("fpa").alias("a"), F.col("fpb").alias("b")).distinct()
 
 
 def _least_shared(n: Column, m: Column, need: int) -> Column:
@@ -324,16 +332,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     firsts = rows.where("n > 0").groupBy("fp").agg(first).select("fp", "x.doc_id", "x.text_hash")
 
     postings = materialise(_postings(docs, heavy, width, need), "jaccard-postings")
-    shared = materialise(_counted(postings, "fp").select("token", "heavy", "fp", "n", "pos"), "jaccard-shared")
+    shared = _counted(postings, "fp").select("token", "heavy", "fp", "n", "pos")
+    own = 1 - F.count(F.lit(1)).over(W.partitionBy("fp")) / F.col("n")
+    shared = materialise(shared.withColumn("own", own), "jaccard-shared")
     discard(postings)
 
     # some rounds in which every set is compared with one leader only, of those outside its component: per member the
-    # leader is the set of least hash, another hash each round, and of its leaders a set takes the most frequent one
+    # leader is the set with the least of its prefix to itself, among all sets at first and then among another quarter
+    # of them each round, and of its leaders a set takes the most frequent one
     links, labels, sets, tried = None, None, None, None
     for turn in range(LEADER_ROUNDS):
         named = shared if labels is None else shared.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
         named = named.withColumn("label", F.col("fp") if labels is None else F.coalesce("label", "fp"))
-        leaders = named.groupBy("token").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "n", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        turned = F.lit(turn > 0) & (F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(4)) > 0)
+        leaders = named.groupBy("token").agg(F.min(F.struct(turned, "own", "fp", "n", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         leaders = leaders.where("lo <> hi").select("token", F.col("x.fp").alias("hub"), F.col("x.n").alias("hub_n"), F.col("x.label").alias("hub_label"))
         close = named.join(leaders, "token").where(F.col("label") != F.col("hub_label"))
         often = close.groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n"))
@@ -351,24 +363,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not found.limit(1).count():
             break
 
-    # all candidate pairs between different components: by the tokens of few sets, and of the sets of all other tokens by
-    # the exact frequency among these sets
+    # all candidate pairs between different components: within the crowd by exact frequency, else by the first order
     in_component = labels.withColumnRenamed("node", "fp")
-    labelled = shared.join(in_component, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    open_tokens = materialise(_counted(labelled, "label").drop("lo", "hi"), "jaccard-open")
+    labelled = shared.drop("own").join(in_component, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    open_tokens = materialise(_counted(labelled, "label").select("token", "fp", "n", "pos", "label"), "jaccard-open")
     discard(shared)
-    crowd = materialise(open_tokens.where(F.col("c") >= MANY).select("fp", "label").distinct(), "jaccard-crowd")
+    of_prefix = F.col("n") - F.ceil(F.col("n") * need / F.lit(100)) + 1
+    opened = open_tokens.groupBy("fp", "n", "label").agg(F.count(F.lit(1)).alias("o")).withColumn("crowded", 100 * F.col("o") >= CROWDED * of_prefix)
+    opened = materialise(opened.select("fp", "label", "o", "crowded"), "jaccard-opened")
+    crowd = opened.where("crowded")
     sets, crowded = _with_sets(docs, sets, crowd.select("fp"), firsts, width)
     ranked = _counted(_members(crowded, heavy), "fp")
     place = F.row_number().over(W.partitionBy("fp").orderBy("c", "token")) - 1 + F.col("n") - F.count(F.lit(1)).over(W.partitionBy("fp"))
     ranked = ranked.withColumn("pos", place).where(100 * (F.col("n") - F.col("pos")) >= need * F.col("n"))
-    ranked = materialise(ranked.join(crowd, "fp").select("token", "fp", "n", "pos", "label"), "jaccard-ranked")
-    across = _across(open_tokens.where(F.col("c") < MANY), need).unionByName(_across(ranked, need)).distinct()
-    across = materialise(across, "jaccard-across")
+    ranked = materialise(ranked.join(crowd, "fp").select("token", "fp", "n", "pos", "label", "o", "crowded"), "jaccard-ranked")
+    some = open_tokens.join(opened.drop("label"), "fp")
+    across = materialise(_across(some, need, False).unionByName(_across(ranked, need, True)).distinct(), "jaccard-across")
     sets, all_sets = _with_sets(docs, sets, _ends(across), firsts, width)
     late = materialise(_verified(across, all_sets, heavy, need), "jaccard-late-links")
     labels = components(links.unionByName(late))
-    for table in (open_tokens, crowd, ranked, across):
+    for table in (open_tokens, opened, ranked, across):
         discard(table)
 
     named = labels.withColumnRenamed("node", "fp").join(firsts, "fp")
