@@ -21,9 +21,14 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset.
+
+    A folder of our own is shared only where everything runs on one machine, so elsewhere an unset folder is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(spark, "_quillon_scratch", None) or "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark._quillon_scratch = root
     return root.rstrip("/")
@@ -56,10 +61,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _sweep() -> None:
     for spark, path in _made:
-        try:
+        with contextlib.suppress(Exception):  # the session may be gone
             _delete(spark, path)
-        except Exception:  # the session may be gone
-            return
 
 
 def words(text: Column) -> Column:
