@@ -7,7 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from . import ordered
 
 
 def tikhonov(df: DataFrame, prediction: str) -> DataFrame:
@@ -41,9 +42,8 @@ def kl_term(norm: float, sigma: float, n: int, delta: float = 0.1) -> float:
 def igci(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     """One row: the mean of ln |dy / dx| over neighbours in order of x, after scaling both to 0..1; steps of 0 are left out."""
     lo_x, hi_x, lo_y, hi_y = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    by = W.orderBy("x", "tie")
     unit = df.select(((F.col(x) - F.lit(lo_x)) / F.lit((hi_x - lo_x) or 1.0)).alias("x"), ((F.col(y) - F.lit(lo_y)) / F.lit((hi_y - lo_y) or 1.0)).alias("y"), F.col(tie).alias("tie"))
-    steps = unit.select((F.col("x") - F.lag("x").over(by)).alias("dx"), (F.col("y") - F.lag("y").over(by)).alias("dy")).where("dx <> 0 AND dy <> 0")
+    steps = ordered.with_previous(unit, "x", "y", "tie").select((F.col("x") - F.col("x1")).alias("dx"), (F.col("y") - F.col("y1")).alias("dy")).where("dx <> 0 AND dy <> 0")
     return steps.agg(F.avg(F.ln(F.abs(F.col("dy") / F.col("dx")))).alias("igci"))
 
 

@@ -75,6 +75,27 @@ def auto_k(neighbours: DataFrame, targets: DataFrame, id_col: str, y: str) -> Da
     return rows.groupBy(F.col("rk").alias("k")).agg((F.lit(1.0) - F.sum((F.col("own") - F.col("p")) ** 2) / (F.count("own") * F.var_pop("own"))).alias("r2"))
 
 
+def auto_k_linear(neighbours: DataFrame, targets: DataFrame, id_col: str, y: str) -> DataFrame:
+    """k, r2 for each k, the neighbours weighted by linear rank: k for the nearest, 1 for the k-th."""
+    t = targets.select(F.col(id_col).alias("id"), F.col(y).cast("double").alias("y"))
+    joined = neighbours.join(t, "id").join(t.select(F.col("id").alias("query_id"), F.col("y").alias("own")), "query_id")
+    upto = W.partitionBy("query_id").orderBy("rk").rowsBetween(W.unboundedPreceding, 0)
+    k = F.col("rk")
+    p = ((k + 1) * F.sum("y").over(upto) - F.sum(k * F.col("y")).over(upto)) / (k * (k + 1) / F.lit(2.0))
+    rows = joined.select("rk", "own", p.alias("p"))
+    return rows.groupBy(F.col("rk").alias("k")).agg((F.lit(1.0) - F.sum((F.col("own") - F.col("p")) ** 2) / (F.count("own") * F.var_pop("own"))).alias("r2"))
+
+
+def auto_k_predict(neighbours: DataFrame, targets: DataFrame, id_col: str, y: str) -> DataFrame:
+    """query_id, prediction: the mean of the first k neighbours for the k of largest R2, the least of several; the mean of
+    all targets where no k has a positive R2."""
+    best = auto_k(neighbours, targets, id_col, y).orderBy(F.col("r2").desc(), "k").first()
+    if best is None or best["r2"] is None or best["r2"] <= 0:
+        mean = targets.agg(F.avg(F.col(y).cast("double"))).first()[0]
+        return neighbours.select("query_id").distinct().withColumn("prediction", F.lit(mean))
+    return knn_predict(neighbours.where(F.col("rk") <= best["k"]), targets, id_col, y, best["k"])
+
+
 def softmax_weights(neighbours: DataFrame, gamma: float) -> DataFrame:
     """neighbours with weight: softmax of -gamma * d2 over each query's neighbours."""
     over = W.partitionBy("query_id")

@@ -163,6 +163,12 @@ def leaf_ridge(df: DataFrame, leaf: str, features: Sequence[str], y: str, alpha:
     return joined.withColumn("leaf_pred", reduce(lambda a, b: a + b, terms, F.col("__b"))).drop("__b", "__w")
 
 
+def bounded(prediction: Column, df: DataFrame, y: str) -> Column:
+    """The prediction kept between the least and the greatest training target."""
+    low, high = df.agg(F.min(y), F.max(y)).first()
+    return F.greatest(F.least(prediction, F.lit(high)), F.lit(low))
+
+
 def linear_scaling(df: DataFrame, x: str, y: str) -> LinearModel:
     """Slope and intercept of y on one column."""
     row = df.agg(F.regr_slope(y, x), F.regr_intercept(y, x)).first()

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from . import ordered
 
 
 def r2(y: Column, p: Column, df: DataFrame) -> Column:
@@ -41,10 +41,9 @@ def cross_entropy(labels: Column, probabilities: Column) -> Column:
 
 
 def average_rank(df: DataFrame, column: str, output: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean; two-step, so that no window holds all rows: counts per value first."""
-    counts = df.groupBy(f"`{column}`").agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(W.orderBy(f"`{column}`").rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.select(F.col(f"`{column}`").alias("__v"), (upto - (F.col("__n") - 1) / F.lit(2.0)).alias(output))
+    """Ranks from 1, ties sharing their mean: counts per value, summed within buckets of values and over the buckets."""
+    counts = df.groupBy(F.col(f"`{column}`").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = ordered.ranks(counts, "__v", "__n").select("__v", (F.col("upto") - (F.col("__n") - 1) / F.lit(2.0)).alias(output))
     return df.join(ranked, df[f"`{column}`"] == ranked["__v"]).drop("__v")
 
 
@@ -56,9 +55,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def smoothness(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     """Mean squared first and second differences of y in order of x."""
-    by = W.orderBy(x, tie)
-    first = df.select(x, tie, (F.col(y) - F.lag(y).over(by)).alias("d1"))
-    both = first.select("d1", (F.col("d1") - F.lag("d1").over(by)).alias("d2"))
+    rows = ordered.with_previous(df, x, y, tie)
+    both = rows.select((F.col("y") - F.col("y1")).alias("d1"), (F.col("y") - 2 * F.col("y1") + F.col("y2")).alias("d2"))
     return both.agg(F.avg(F.col("d1") * F.col("d1")).alias("first_order"), F.avg(F.col("d2") * F.col("d2")).alias("second_order"))
 
 
@@ -113,3 +111,15 @@ def semantic_fingerprint(df: DataFrame, columns: Sequence[str], row_id: str, dig
 
     row = df.agg(*(one(c).cast("string").alias(c) for c in columns))
     return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("gene"), F.col(c).alias("fingerprint")) for c in columns))).alias("x")).select("x.*")
+
+
+def task_r2(df: DataFrame, y: str, prediction: str, task: str) -> DataFrame:
+    """One row: the mean over tasks of each task's R2; tasks with one value of y take no part."""
+    miss = F.sum((F.col(y) - F.col(prediction)) ** 2)
+    by_task = df.groupBy(task).agg((F.lit(1.0) - miss / (F.count(y) * F.var_pop(y))).alias("r2"), F.var_pop(y).alias("v")).where("v > 0")
+    return by_task.agg(F.avg("r2").alias("task_r2"))
+
+
+def sized_score(score: Column, size: Column, weight: float = 0.01) -> Column:
+    """A score less a weight for each node, or each feature, that earned it."""
+    return score - F.lit(weight) * size

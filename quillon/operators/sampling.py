@@ -51,10 +51,13 @@ def hard_rows(losses: DataFrame, k: int, how: str = "hard") -> DataFrame:
 
 
 def mixup(df: DataFrame, row_id: str, columns: list[str], n: int, seed: int = 0) -> DataFrame:
-    """Each row mixed with another by a hashed share: x * l + x' * (1 - l); the partner is a hash-chosen row id below n."""
+    """Each row mixed with another by a hashed share: x * l + x' * (1 - l); the partner is a hash-chosen row id below n.
+
+    A row whose partner's id is not there stays as it is, so no row goes where ids are not dense.
+    """
     partner = F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(n))
     share = F.pmod(F.xxhash64(row_id, F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     own = df.select(row_id, *columns).withColumns({"__p": partner, "__l": share})
     other = df.select(F.col(row_id).alias("__p"), *(F.col(c).alias(f"__o_{c}") for c in columns))
-    mixed = own.join(other, "__p")
-    return mixed.select(row_id, *((F.col(c) * F.col("__l") + F.col(f"__o_{c}") * (F.lit(1.0) - F.col("__l"))).alias(c) for c in columns))
+    mixed = own.join(other, "__p", "left")
+    return mixed.select(row_id, *((F.col(c) * F.col("__l") + F.coalesce(f"__o_{c}", c) * (F.lit(1.0) - F.col("__l"))).alias(c) for c in columns))

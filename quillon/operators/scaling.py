@@ -155,3 +155,30 @@ def column_kinds(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Boolean for exactly 2 distinct values, Categorical for at most 10 that are all whole numbers, else Numerical."""
     s = _stats(df, columns, n=F.count_distinct, broken=lambda x: F.max((x != F.floor(x)).cast("int")))
     return {c: "Boolean" if v["n"] == 2 else "Categorical" if v["n"] <= 10 and not v["broken"] else "Numerical" for c, v in s.items()}
+
+
+def unscaled(columns: Sequence[str]) -> Scaler:
+    """The values as they are."""
+    return Scaler({c: (lambda x: x) for c in columns})
+
+
+def one_hot_standard(df: DataFrame, columns: Sequence[str]) -> Scaler:
+    """(x - mean) / population deviation, but columns of zeros and ones stay as they are."""
+    s = _stats(df, columns, m=F.avg, d=F.stddev_pop, other=lambda x: F.max((~x.isin(0.0, 1.0)).cast("int")))
+    return Scaler({c: _affine(v["m"], v["d"]) if v["other"] else (lambda x: x) for c, v in s.items()})
+
+
+def whole_targets(df: DataFrame, column: str) -> Scaler:
+    """Predictions of a whole-number target: rounded half to even and kept between its fitted least and greatest value."""
+    v = _stats(df, [column], lo=F.min, hi=F.max)[column]
+    return Scaler({column: lambda x: F.greatest(F.least(F.rint(x), F.lit(v["hi"])), F.lit(v["lo"]))})
+
+
+def linear_layer(columns: Sequence[Column], weights: Sequence[float], bias: float = 0.0) -> Column:
+    """The weighted sum of the columns."""
+    return sum((F.lit(float(w)) * c for c, w in zip(columns, weights, strict=True)), F.lit(float(bias)))
+
+
+def clip(x: Column, low: float, high: float) -> Column:
+    """x kept between low and high."""
+    return F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low)))

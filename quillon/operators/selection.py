@@ -222,3 +222,41 @@ def niches(fitness: DataFrame) -> DataFrame:
     """fitness with niche: about sqrt(n) equal parts in order of fitness."""
     n = fitness.count()
     return fitness.withColumn("niche", F.ntile(max(1, int(n**0.5))).over(W.orderBy("fitness", "ind_id")) - 1)
+
+
+def p_lexicase_wins(losses: DataFrame) -> DataFrame:
+    """ind_id, wins: on how many rows an individual is within the median absolute deviation of the least loss."""
+    whole = W.partitionBy("row_id")
+    middle = losses.withColumns({"m": F.percentile("loss", F.lit(0.5)).over(whole), "least": F.min("loss").over(whole)})
+    spread = middle.withColumn("gap", F.abs(F.col("loss") - F.col("m")))
+    near = F.col("loss") <= F.col("least") + F.percentile("gap", F.lit(0.5)).over(whole)
+    return spread.select("ind_id", near.alias("near")).groupBy("ind_id").agg(F.sum(F.col("near").cast("long")).alias("wins"))
+
+
+def normalised_objectives(population: DataFrame, objectives: Sequence[str]) -> DataFrame:
+    """population with every objective scaled to 0..1 by its least and greatest value; a constant one becomes 0."""
+    row = population.agg(*(f(o).alias(f"{n}_{o}") for o in objectives for n, f in (("lo", F.min), ("hi", F.max)))).first()
+
+    def unit(o: str) -> Column:
+        low, span = row[f"lo_{o}"], (row[f"hi_{o}"] or 0) - (row[f"lo_{o}"] or 0)
+        return (F.col(o) - F.lit(low)) / F.lit(float(span)) if span else F.lit(0.0)
+
+    return population.withColumns({o: unit(o) for o in objectives})
+
+
+def angles(residuals: DataFrame, parent: int) -> DataFrame:
+    """ind_id, cosine of its residual vector with the parent's: the mate of the widest angle has the least.
+
+    residuals: ind_id, row_id, residual. A vector of zeros is at a right angle to all.
+    """
+    own = residuals.where(F.col("ind_id") == parent).select("row_id", F.col("residual").alias("own"))
+    both = residuals.where(F.col("ind_id") != parent).join(own, "row_id")
+    length = F.sqrt(F.sum(F.col("residual") ** 2) * F.sum(F.col("own") ** 2))
+    sums = both.groupBy("ind_id").agg(F.sum(F.col("residual") * F.col("own")).alias("dot"), length.alias("length"))
+    return sums.select("ind_id", F.coalesce(F.try_divide("dot", "length"), F.lit(0.0)).alias("cosine"))
+
+
+def curriculum_tiers(losses: DataFrame, tiers: int) -> DataFrame:
+    """row_id, tier from 0 (easiest): rows by their mean loss over individuals, in equal parts."""
+    mean = losses.groupBy("row_id").agg(F.avg("loss").alias("mean"))
+    return mean.select("row_id", (F.ntile(tiers).over(W.orderBy("mean", "row_id")) - 1).alias("tier"))  # one row per training case

@@ -55,7 +55,7 @@ _AQ = "({a}) / sqrt(1.0 + ({b}) * ({b}))"
 #: What each primitive is in DuckDB, whose arithmetic follows IEEE.
 _SQL = {
     "arithmetic": {"Add": "a + b", "Sub": "a - b", "Mul": "a * b", "Mean": "(a + b) / 2.0", "Neg": "-a", "Abs": "abs(a)", "Add^3": "a + b + c", "Add^4": "a + b + c + d", "Add^5": "a + b + c + d + a", "Sub^3": "a - b - c", "Sub^4": "a - b - c - d", "Sub^5": "a - b - c - d - a", "Mul^3": "a * b * c", "Mul^4": "a * b * c * d", "Mul^5": "a * b * c * d * a"},
-    "division": {"Div": _DIV.format(a="a", b="b"), "Div-O": "a / b", "Div-S": "a / (b + sign(b) * 1e-6)", "AQ": _AQ.format(a="a", b="b"), "AQ-Signed": f"{_AQ.format(a='a', b='b')} * sign(b)", "AQ^3": _AQ.format(a=_AQ.format(a="a", b="b"), b="c"), "AQ^4": _AQ.format(a=_AQ.format(a=_AQ.format(a="a", b="b"), b="c"), b="d"), "AQ^5": _AQ.format(a=_AQ.format(a=_AQ.format(a=_AQ.format(a="a", b="b"), b="c"), b="d"), b="a"), "Div^3": _DIV.format(a=_DIV.format(a="a", b="c"), b="d"), "Inv": "CASE WHEN abs(a) > 1e-6 THEN 1.0 / a ELSE 0.0 END"},
+    "division": {"Div": _DIV.format(a="a", b="b"), "Div-O": "a / b", "Div-S": "a / (b + sign(b) * 1e-6)", "AQ": _AQ.format(a="a", b="b"), "AQ-Signed": f"{_AQ.format(a='a', b='b')} * sign(b)", "AQ^3": _AQ.format(a=_AQ.format(a="a", b="b"), b="c"), "AQ^4": _AQ.format(a=_AQ.format(a=_AQ.format(a="a", b="b"), b="c"), b="d"), "AQ^5": _AQ.format(a=_AQ.format(a=_AQ.format(a=_AQ.format(a="a", b="b"), b="c"), b="d"), b="a"), "Div^3": _DIV.format(a=_DIV.format(a="a", b="c"), b="d"), "Div^4": _DIV.format(a=_DIV.format(a=_DIV.format(a="a", b="c"), b="d"), b="c"), "Div^5": _DIV.format(a=_DIV.format(a=_DIV.format(a=_DIV.format(a="a", b="c"), b="d"), b="c"), b="d"), "Inv": "CASE WHEN abs(a) > 1e-6 THEN 1.0 / a ELSE 0.0 END"},
     "logs": {"Log": "ln(abs(b))", "ALog": "ln(sqrt(1.0 + a * a))", "ALog-Signed": "ln(sqrt(1.0 + a * a)) * sign(a)", "AbsLog": "ln(1.0 + abs(a))", "AbsLog-Signed": "ln(1.0 + abs(a)) * sign(a)", "Log-O": "ln(b)", "Log-C": "ln(greatest(abs(b), 1e-10))", "Log-C-Signed": "ln(greatest(abs(b), 1e-10))", "ALog10": "log10(sqrt(1.0 + a * a))", "LogXY": "CASE WHEN abs(a) > 1e-6 THEN ln(abs(a)) / ln(abs(b)) ELSE 0.0 END", "Log2": "CASE WHEN abs(b) > 1e-6 THEN log2(abs(b)) ELSE 0.0 END", "Log10": "CASE WHEN abs(b) > 1e-6 THEN log10(abs(b)) ELSE 0.0 END", "LogE": "CASE WHEN abs(b) > 1e-6 THEN ln(abs(b)) ELSE 0.0 END"},
     "trigonometry": {"Sin": "sin(a)", "Cos": "cos(a)", "RSin": "sin(pi() * a)", "RCos": "cos(pi() * a)", "SinPi": "sin(pi() * c)", "CosPi": "cos(pi() * c)", "DSin": "sin(radians(a))", "DCos": "cos(radians(a))", "Arcsin": "CASE WHEN abs(c) <= 1 THEN asin(c) ELSE 'nan'::DOUBLE END", "Arccos": "CASE WHEN abs(c) <= 1 THEN acos(c) ELSE 'nan'::DOUBLE END", "Arctan": "atan(a)", "Tanh": "tanh(c)"},
     "powers": {"Sqrt": "sqrt(abs(a))", "Sqrt-O": "CASE WHEN a >= 0 THEN sqrt(a) ELSE 'nan'::DOUBLE END", "Sqrt-Signed": "sqrt(abs(a)) * sign(a)", "Cbrt": "cbrt(a)", "Square": "a * a", "Square-Signed": "a * a * sign(a)", "Cube": "a * a * a", "FourthPower": "a * a * a * a", "FifthPower": "a * a * a * a * a", "Exp2": "CASE WHEN pow(2.0, a) < 1e6 THEN pow(2.0, a) ELSE 1.0 END", "Exp": "CASE WHEN exp(a) < 1e6 THEN exp(a) ELSE 1.0 END"},
@@ -67,7 +67,7 @@ _SQL = {
     "kernels": {"Gaussian": "exp(-a * a / 2.0)", "GaussianKernel": "exp(-(a - b) * (a - b) / 2.0)", "ExponentialKernel": "exp(-abs(a - b))"},
 }
 #: Operands of the primitives that are not given the first ones.
-_ARGS = {"Log": "b", "Log-O": "b", "Log-C": "b", "Log-C-Signed": "b", "Log2": "b", "Log10": "b", "LogE": "b", "SinPi": "c", "CosPi": "c", "Arcsin": "c", "Arccos": "c", "Tanh": "c", "Round": "c", "Div^3": "acd"}
+_ARGS = {"Log": "b", "Log-O": "b", "Log-C": "b", "Log-C-Signed": "b", "Log2": "b", "Log10": "b", "LogE": "b", "SinPi": "c", "CosPi": "c", "Arcsin": "c", "Arccos": "c", "Tanh": "c", "Round": "c", "Div^3": "acd", "Div^4": "acdc", "Div^5": "acdcd"}
 
 
 def _name(primitive: str) -> str:
@@ -558,7 +558,7 @@ def drep_weights(spark: SparkSession, sf: str) -> DataFrame:
 _NOVEL = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
-@query("dominated_novelty", f"WITH p AS (SELECT vec_id AS ind_id, embedding, CAST(label * 100 + vec_id % 7 AS DOUBLE) AS fitness FROM embeddings WHERE vec_id < 120), d AS (SELECT a.ind_id, b.ind_id AS other, 1.0 - {_NOVEL} / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS d FROM p a JOIN p b ON b.fitness < a.fitness OR (b.fitness = a.fitness AND b.ind_id < a.ind_id)), r AS (SELECT *, row_number() OVER (PARTITION BY ind_id ORDER BY d, other) AS r FROM d) SELECT ind_id, {_q('coalesce(avg(d), -1.0)')} AS novelty FROM (SELECT ind_id FROM p) LEFT JOIN (SELECT * FROM r WHERE r <= 3) USING (ind_id) GROUP BY ind_id")
+@query("dominated_novelty", f"WITH p AS (SELECT vec_id AS ind_id, embedding, CAST(label * 100 + vec_id % 7 AS DOUBLE) AS fitness FROM embeddings), d AS (SELECT a.ind_id, b.ind_id AS other, 1.0 - {_NOVEL} / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS d FROM p a JOIN p b ON b.fitness < a.fitness OR (b.fitness = a.fitness AND b.ind_id < a.ind_id)), r AS (SELECT *, row_number() OVER (PARTITION BY ind_id ORDER BY d, other) AS r FROM d) SELECT ind_id, {_q('coalesce(avg(d), -1.0)')} AS novelty FROM (SELECT ind_id FROM p) LEFT JOIN (SELECT * FROM r WHERE r <= 3) USING (ind_id) GROUP BY ind_id")
 def dominated_novelty(spark: SparkSession, sf: str) -> DataFrame:
     generation = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("ind_id"), "embedding", (F.col("label") * 100 + F.col("vec_id") % 7).cast("double").alias("fitness"))
     out = ensemble.dominated_novelty(generation, "embedding", 3)
@@ -757,3 +757,152 @@ def nearest_semantics(spark: SparkSession, sf: str) -> DataFrame:
 def stage_order(spark: SparkSession, sf: str) -> DataFrame:
     chosen = retrieval.stage_order(_t(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 3)
     return spark.createDataFrame(list(enumerate(chosen)), "place int, feature string")
+
+
+# --- scores, scalers and selection of later rounds --------------------------------------------------------------------
+
+_TYPES = "SELECT p_type, p_size, p_retailprice FROM part"
+
+
+@query("scale_skew", f"WITH s AS (SELECT skewness(value) AS k, min(value) AS lo, count(*) AS n FROM events), g AS (SELECT k * (n - 2) / sqrt(n * (n - 1.0)) AS k, lo FROM s) SELECT event_id, {_q('CASE WHEN k > 0.5 THEN sqrt(value - lo) WHEN k < -0.5 THEN (value - lo) * (value - lo) ELSE value END', 4)} AS value FROM events, g")
+def scale_skew(spark: SparkSession, sf: str) -> DataFrame:
+    df = _t(spark, sf, "events").select("event_id", "value")
+    return scaling.skew(df, ["value"]).apply(df).select("event_id", _r(F.col("value"), 4).alias("value"))
+
+
+@query("scale_quantile_uniform", f"WITH g AS (SELECT quantile_cont(o_totalprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM orders), t AS (SELECT o_orderkey, o_totalprice AS x, g.e AS e, len(list_filter(g.e, lambda v: v <= o_totalprice)) AS b FROM orders, g) SELECT o_orderkey, {_q('CASE WHEN b <= 0 THEN 0.0 WHEN b >= 11 THEN 1.0 ELSE (b - 1 + (x - e[b]) / (e[b + 1] - e[b])) / 10.0 END', 5)} AS u FROM t")
+def scale_quantile_uniform(spark: SparkSession, sf: str) -> DataFrame:
+    df = _t(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("u"))
+    return scaling.quantile_uniform(df, "u", 11).apply(df).select("o_orderkey", _r(F.col("u"), 5).alias("u"))
+
+
+@query("scale_std_min_max", f"SELECT c_custkey, {_q('(c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER ()')} AS s, {_q('(c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ())')} AS m FROM customer")
+def scale_std_min_max(spark: SparkSession, sf: str) -> DataFrame:
+    out = scaling.std_and_min_max(_t(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"])
+    return out.select("c_custkey", _r(F.col("c_acctbal_std")).alias("s"), _r(F.col("c_acctbal_mm")).alias("m"))
+
+
+@query("scale_one_hot_standard", f"WITH t AS (SELECT c_custkey, CAST(c_custkey % 2 AS DOUBLE) AS flag, c_acctbal AS x FROM customer) SELECT c_custkey, {_q('flag')} AS flag, {_q('(x - avg(x) OVER ()) / stddev_pop(x) OVER ()')} AS x FROM t")
+def scale_one_hot_standard(spark: SparkSession, sf: str) -> DataFrame:
+    df = _t(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 2).cast("double").alias("flag"), F.col("c_acctbal").alias("x"))
+    return scaling.one_hot_standard(df, ["flag", "x"]).apply(df).select("c_custkey", _r(F.col("flag")).alias("flag"), _r(F.col("x")).alias("x"))
+
+
+@query("scale_whole_targets", f"WITH b AS (SELECT min(p_size) AS lo, max(p_size) AS hi FROM part) SELECT p_partkey, {_q('greatest(least(round_even(p_retailprice / 17.3 - 10.0, 0), hi), lo)')} AS p_size FROM part, b")
+def scale_whole_targets(spark: SparkSession, sf: str) -> DataFrame:
+    df = _t(spark, sf, "part")
+    guesses = df.select("p_partkey", (F.col("p_retailprice") / F.lit(17.3) - 10.0).alias("p_size"))
+    return scaling.whole_targets(df, "p_size").apply(guesses).select("p_partkey", _r(F.col("p_size")).alias("p_size"))
+
+
+@query("scale_unscaled", f"SELECT c_custkey, {_q('c_acctbal')} AS x FROM customer")
+def scale_unscaled(spark: SparkSession, sf: str) -> DataFrame:
+    df = _t(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("x"))
+    return scaling.unscaled(["x"]).apply(df).select("c_custkey", _r(F.col("x")).alias("x"))
+
+
+@query("layer_and_clip", f"SELECT l_orderkey, {_q('sum(0.5 * l_quantity - 2.0 * l_discount + 3.0)', 4)} AS layer, {_q('sum(greatest(least(l_quantity, 40.0), 10.0))', 4)} AS clipped FROM lineitem GROUP BY ALL")
+def layer_and_clip(spark: SparkSession, sf: str) -> DataFrame:
+    layer = scaling.linear_layer([F.col("l_quantity"), F.col("l_discount")], [0.5, -2.0], 3.0)
+    out = _t(spark, sf, "lineitem").groupBy("l_orderkey")
+    return out.agg(_r(F.sum(layer), 4).alias("layer"), _r(F.sum(scaling.clip(F.col("l_quantity"), 10, 40)), 4).alias("clipped"))
+
+
+_PROBS = "WITH t AS (SELECT c_custkey, CAST(c_custkey % 3 AS INTEGER) AS y, 0.2 + CAST(c_nationkey % 4 AS DOUBLE) / 10 AS a, 0.1 + CAST(c_custkey % 4 AS DOUBLE) / 10 AS b FROM customer), u AS (SELECT c_custkey, y, a / (a + b + 0.3) AS p0, b / (a + b + 0.3) AS p1, 0.3 / (a + b + 0.3) AS p2 FROM t)"
+
+
+@query("class_losses", f"{_PROBS} SELECT c_custkey, CASE WHEN y = (CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END) THEN 0.0 ELSE 1.0 END AS zero_one, {_q('-ln(greatest(CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 1e-8))')} AS cross_entropy FROM u")
+def class_losses(spark: SparkSession, sf: str) -> DataFrame:
+    t = _t(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 3).cast("int").alias("y"), (F.lit(0.2) + (F.col("c_nationkey") % 4).cast("double") / 10).alias("a"), (F.lit(0.1) + (F.col("c_custkey") % 4).cast("double") / 10).alias("b"))
+    whole = F.col("a") + F.col("b") + F.lit(0.3)
+    p = F.array(F.col("a") / whole, F.col("b") / whole, F.lit(0.3) / whole)
+    return t.select("c_custkey", metrics.zero_one(F.col("y"), p).alias("zero_one"), _r(metrics.cross_entropy(F.col("y"), p)).alias("cross_entropy"))
+
+
+@query("task_r2", f"WITH t AS (SELECT c_nationkey, {_YP} FROM customer), r AS (SELECT 1.0 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)) AS r2 FROM t GROUP BY c_nationkey HAVING var_pop(y) > 0) SELECT {_q('avg(r2)', 4)} AS task_r2 FROM r")
+def task_r2(spark: SparkSession, sf: str) -> DataFrame:
+    df = _yp(spark, sf).join(_t(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    return metrics.task_r2(df, "y", "p", "c_nationkey").select(_r(F.col("task_r2"), 4).alias("task_r2"))
+
+
+@query("sized_scores", f"SELECT p_partkey, {_q('p_retailprice / 1000.0 - 0.01 * p_size')} AS by_size, {_q('p_retailprice / 1000.0 - 0.05 * (p_partkey % 7)')} AS by_features FROM part")
+def sized_scores(spark: SparkSession, sf: str) -> DataFrame:
+    score = F.col("p_retailprice") / F.lit(1000.0)
+    return _t(spark, sf, "part").select("p_partkey", _r(metrics.sized_score(score, F.col("p_size"))).alias("by_size"), _r(metrics.sized_score(score, F.col("p_partkey") % 7, 0.05)).alias("by_features"))
+
+
+@query("cv_gap", f"WITH t AS (SELECT c_custkey, {_YP} FROM customer) SELECT {_q('avg((y - p) * (y - p))', 4)} AS train, {_q('avg((y - 0.9 * p) * (y - 0.9 * p))', 4)} AS cross_err, {_q('avg((y - 0.9 * p) * (y - 0.9 * p)) - avg((y - p) * (y - p))', 4)} AS gap FROM t")
+def cv_gap(spark: SparkSession, sf: str) -> DataFrame:
+    df = _yp(spark, sf).withColumn("q", F.lit(0.9) * F.col("p"))
+    return complexity.cv_gap(df, "y", "p", "q").select(_r(F.col("train"), 4).alias("train"), _r(F.col("cross"), 4).alias("cross_err"), _r(F.col("gap"), 4).alias("gap"))
+
+
+@query("pac_kl_term", f"WITH t AS (SELECT sqrt(sum(l_tax * l_tax)) AS norm, count(*) AS n FROM lineitem) SELECT {_q('4 * sqrt((norm * norm / (2 * 0.01) + ln(2 * n / 0.1)) / n)')} AS kl FROM t")
+def pac_kl_term(spark: SparkSession, sf: str) -> DataFrame:
+    norm, n = _t(spark, sf, "lineitem").agg(F.sqrt(F.sum(F.col("l_tax") * F.col("l_tax"))), F.count(F.lit(1))).first()
+    return spark.createDataFrame([(complexity.kl_term(norm, 0.1, n),)], "kl double").select(_r(F.col("kl")).alias("kl"))
+
+
+@query("top_by_quantile", f"WITH g AS (SELECT p_type AS gene, sum(p_retailprice) AS importance FROM part GROUP BY p_type) SELECT gene, {_q('importance', 2)} AS importance FROM g WHERE importance >= (SELECT quantile_cont(importance, 0.6) FROM g)")
+def top_by_quantile(spark: SparkSession, sf: str) -> DataFrame:
+    scores = _t(spark, sf, "part").groupBy(F.col("p_type").alias("gene")).agg(F.sum("p_retailprice").alias("importance"))
+    return importance.top_by_quantile(scores, 0.4).select("gene", _r(F.col("importance"), 2).alias("importance"))
+
+
+@query("library_evict", "SELECT p_partkey AS tree, p_size AS size FROM part ORDER BY p_partkey % 13 DESC, p_size, p_partkey LIMIT 20")
+def library_evict(spark: SparkSession, sf: str) -> DataFrame:
+    library = _t(spark, sf, "part").select(F.col("p_partkey").alias("tree"), F.col("p_size").alias("size"), (F.col("p_partkey") % 13).alias("used"))
+    return retrieval.evict(library, 20).select("tree", "size")
+
+
+@query("library_smallest", "WITH t AS (SELECT vec_id AS tree, vec_id % 5 AS size, label AS s FROM embeddings) SELECT tree, size FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY size, tree) AS r FROM t) WHERE r = 1")
+def library_smallest(spark: SparkSession, sf: str) -> DataFrame:
+    own = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("double"))
+    library = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("tree"), (F.col("vec_id") % 5).alias("size"), own.alias("semantics"))
+    return retrieval.smallest_per_semantics(library).select("tree", "size")
+
+
+@query("impute", f"WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS x, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS s FROM customer) SELECT c_custkey, {_q('coalesce(x, avg(x) OVER ())', 4)} AS x, coalesce(s, 'missing') AS seg FROM t")
+def impute(spark: SparkSession, sf: str) -> DataFrame:
+    df = _t(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("x"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("seg"))
+    return encoding.impute(df, df, ["x"], ["seg"]).select("c_custkey", _r(F.col("x"), 4).alias("x"), "seg")
+
+
+@query("p_lexicase_wins", f"WITH t AS ({_LOSS}), m AS (SELECT *, median(loss) OVER (PARTITION BY row_id) AS m, min(loss) OVER (PARTITION BY row_id) AS l FROM t), d AS (SELECT *, median(abs(loss - m)) OVER (PARTITION BY row_id) AS d FROM m) SELECT ind_id, CAST(count(*) FILTER (loss <= l + d) AS BIGINT) AS wins FROM d GROUP BY ind_id")
+def p_lexicase_wins(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.p_lexicase_wins(_losses(spark, sf))
+
+
+@query("normalised_objectives", f"SELECT p_partkey AS ind_id, {_q('(p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ())')} AS fitness, {_q('(p_size - min(p_size) OVER ()) / CAST(max(p_size) OVER () - min(p_size) OVER () AS DOUBLE)')} AS size FROM part")
+def normalised_objectives(spark: SparkSession, sf: str) -> DataFrame:
+    out = selection.normalised_objectives(_population(spark, sf), ["fitness", "size"])
+    return out.select("ind_id", _r(F.col("fitness")).alias("fitness"), _r(F.col("size")).alias("size"))
+
+
+@query("parent_angles", f"WITH t AS (SELECT ind_id, row_id, loss - 5000.0 AS e FROM ({_LOSS})), o AS (SELECT row_id, e AS own FROM t WHERE ind_id = 3) SELECT ind_id, {_q('sum(e * own) / sqrt(sum(e * e) * sum(own * own))')} AS cosine FROM t JOIN o USING (row_id) WHERE ind_id <> 3 GROUP BY ind_id")
+def parent_angles(spark: SparkSession, sf: str) -> DataFrame:
+    residuals = _losses(spark, sf).select("ind_id", "row_id", (F.col("loss") - 5000.0).alias("residual"))
+    return selection.angles(residuals, 3).select("ind_id", _r(F.col("cosine")).alias("cosine"))
+
+
+@query("curriculum_tiers", f"WITH m AS (SELECT row_id, avg(loss) AS mean FROM ({_LOSS}) GROUP BY row_id) SELECT row_id, CAST(ntile(4) OVER (ORDER BY mean, row_id) - 1 AS INTEGER) AS tier FROM m")
+def curriculum_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.curriculum_tiers(_losses(spark, sf), 4)
+
+
+@query("knn_auto_k_linear", f"WITH {_NEAR}, r AS (SELECT rk, query_id, ((rk + 1) * sum(y) OVER w - sum(rk * y) OVER w) / (rk * (rk + 1) / 2.0) AS p FROM k WINDOW w AS (PARTITION BY query_id ORDER BY rk)), j AS (SELECT rk, CAST(p AS DOUBLE) AS p, label AS own FROM r JOIN embeddings ON query_id = vec_id) SELECT CAST(rk AS INTEGER) AS k, {_q('1.0 - sum((own - p) * (own - p)) / (count(*) * var_pop(own))')} AS r2 FROM j GROUP BY rk")
+def knn_auto_k_linear(spark: SparkSession, sf: str) -> DataFrame:
+    near, df = _neighbours(spark, sf)
+    return knn.auto_k_linear(near, df, "vec_id", "label").select("k", _r(F.col("r2")).alias("r2"))
+
+
+@query("knn_auto_k_predict", f"WITH {_NEAR}, r AS (SELECT rk, query_id, avg(y) OVER (PARTITION BY query_id ORDER BY rk) AS p FROM k), j AS (SELECT rk, p, label AS own FROM r JOIN embeddings ON query_id = vec_id), s AS (SELECT rk, 1.0 - sum((own - p) * (own - p)) / (count(*) * var_pop(own)) AS r2 FROM j GROUP BY rk), b AS (SELECT rk, r2 FROM s ORDER BY r2 DESC, rk LIMIT 1) SELECT query_id, {_q('CASE WHEN b.r2 > 0 THEN r.p ELSE (SELECT avg(label) FROM embeddings) END')} AS prediction FROM r, b WHERE r.rk = b.rk")
+def knn_auto_k_predict(spark: SparkSession, sf: str) -> DataFrame:
+    near, df = _neighbours(spark, sf)
+    return knn.auto_k_predict(near, df, "vec_id", "label").select("query_id", _r(F.col("prediction")).alias("prediction"))
+
+
+@query("bounded_regression", f"WITH t AS ({_XY}), m AS (SELECT covar_pop(x, y) / var_pop(x) AS b, avg(y) - covar_pop(x, y) / var_pop(x) * avg(x) AS a, min(y) AS lo, max(y) AS hi FROM t) SELECT c_custkey, {_q('greatest(least(a + b * x, hi), lo)', 4)} AS p FROM t, m")
+def bounded_regression(spark: SparkSession, sf: str) -> DataFrame:
+    df = _xy(spark, sf)
+    return df.select("c_custkey", _r(linear.bounded(linear.linear_scaling(df, "x", "y").column(), df, "y"), 4).alias("p"))
