@@ -25,8 +25,8 @@ from pyspark.sql import Window as W
 
 from ._shared import materialise
 
-#: A node of so few points is a leaf; each level's radius is this share of the one above.
-LEAF, SHRINK = 32, 0.6
+#: A node of so few points is a leaf; each level's radius is this share of the one above, or what FANOUT centres reach.
+LEAF, SHRINK, FANOUT = 32, 0.6, 16
 #: At most so many pivots, from about so many sampled rows.
 PIVOTS, SAMPLE = 64, 4096
 
@@ -74,14 +74,17 @@ class CoverTree:
         self.centre = real[centres] if centres else np.zeros((0, points.shape[1]))
         self.norm = np.sqrt((self.centre**2).sum(1))
         self.kids = kids
+        self.radius = np.array(self.radius)
         self.leaves = [self._below(n) for n in range(len(centres))]
 
-    def _children(self, real: np.ndarray, members: np.ndarray, centre: int, distance: np.ndarray, radius: float) -> list[tuple[np.ndarray, int]] | None:
-        """Centres taken farthest first until all members are within the next radius; None if they hardly group."""
+    def _children(self, real: np.ndarray, members: np.ndarray, centre: int, distance: np.ndarray, radius: float) -> list[tuple[np.ndarray, int]]:
+        """Centres taken farthest first until all members are within the next radius, or FANOUT are taken.
+
+        Centres lie farther from each other than they cover, and every point of positive distance can be split off, so
+        a node's children are smaller than it, also where many dimensions keep points far apart.
+        """
         least, owner, centres = distance.copy(), np.zeros(len(members), np.int64), [centre]
-        while least.max() > SHRINK * radius:
-            if len(centres) * 8 > len(members):
-                return None
+        while least.max() > SHRINK * radius and len(centres) < FANOUT:
             far = int(members[least.argmax()])
             gap = real[members] - real[far]
             d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
@@ -103,6 +106,7 @@ class TopK:
     def __init__(self, n: int, k: int, floor: np.ndarray) -> None:
         self.k, self.scores, self.ids = k, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
         self.worst = floor.astype(np.float64)  # a score below this is not among the k best
+        self.pruned, self.scored = 0, 0  # pairs of nodes left out by their bound, pairs of leaves scored
 
     def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate([self.scores[query], scores]), np.concatenate([self.ids[query], ids])
@@ -122,7 +126,7 @@ def dual_search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray)
     d = data.points.astype(np.float64) if small else data.points
 
     def bound(a: int, b: np.ndarray) -> np.ndarray:
-        rb = np.array([data.radius[x] for x in b])
+        rb = data.radius[b]
         top = data.centre[b] @ queries.centre[a] + queries.norm[a] * rb + data.norm[b] * queries.radius[a] + queries.radius[a] * rb
         return top + 1e-9 * (1 + np.abs(top)) + 1e-3
 
@@ -131,6 +135,7 @@ def dual_search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray)
         top, a, b = stack.pop()
         own = queries.leaves[a]
         if top < found.worst[own].min():
+            found.pruned += 1
             continue
         if queries.kids[a] and (not data.kids[b] or queries.radius[a] > data.radius[b]):
             stack += sorted((float(bound(x, np.array([b]))[0]), x, b) for x in queries.kids[a])
@@ -138,6 +143,7 @@ def dual_search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray)
             nodes = np.array(data.kids[b])
             stack += sorted((float(t), a, int(x)) for t, x in zip(bound(a, nodes), nodes, strict=True))
         else:
+            found.scored += 1
             part = slice(data.low[b], data.high[b])
             scores = (q[own] @ d[part].T).astype(np.int64)
             ids = data.ids[part]
