@@ -25,8 +25,9 @@ from pyspark.sql import Window as W
 
 from ._shared import materialise
 
-#: A node of so few points is a leaf; each level's radius is this share of the one above, or what FANOUT centres reach.
-LEAF, SHRINK, FANOUT = 32, 0.6, 16
+#: A node of so few points is a leaf, of data and of queries, so that two leaves make one dense product; each level's
+#: radius is this share of the one above, or what FANOUT centres reach.
+LEAF, QUERY_LEAF, SHRINK, FANOUT = 512, 128, 0.6, 16
 #: At most so many pivots, from about so many sampled rows.
 PIVOTS, SAMPLE = 64, 4096
 
@@ -34,7 +35,7 @@ PIVOTS, SAMPLE = 64, 4096
 class CoverTree:
     """Points in tree order with their ids; nodes as parallel arrays: point range, centre, radius, children's range."""
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, ids: np.ndarray, tags: np.ndarray, leaf: int = LEAF) -> None:
         real = points.astype(np.float64)
         order: list[np.ndarray] = []
         self.low, self.high, self.radius = [], [], []
@@ -59,7 +60,7 @@ class CoverTree:
                 distance = near(members, centre)
                 radius = float(distance.max())
                 self.radius.append(radius * (1 + 1e-9))
-                split = self._children(real, members, centre, distance, radius) if len(members) > LEAF and radius > 0 else None
+                split = self._children(real, members, centre, distance, radius) if len(members) > leaf and radius > 0 else None
                 self.low.append(-1)
                 self.high.append(-1)
                 if split is None:
@@ -186,7 +187,7 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
     return out
 
 
-def _blocks(vectors: DataFrame, pivots: np.ndarray, width: int, rows: int, name: str) -> DataFrame:
+def _blocks(vectors: DataFrame, pivots: np.ndarray, width: int, rows: int, name: str, leaf: int) -> DataFrame:
     """pivot, block, tree (pickled): blocks of about `rows` rows of one pivot, as trees."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +204,7 @@ def _blocks(vectors: DataFrame, pivots: np.ndarray, width: int, rows: int, name:
     def grow(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id", kind="stable")
         points = _matrix([list(v) for v in frame["v"]], width)
-        tree = CoverTree(points, frame["vec_id"].to_numpy(np.int64), frame["tag"].to_numpy(np.int64))
+        tree = CoverTree(points, frame["vec_id"].to_numpy(np.int64), frame["tag"].to_numpy(np.int64), leaf)
         return pd.DataFrame({"pivot": [key[0]], "block": [key[1]], "tree": [pickle.dumps(tree)], "centre": [tree.centre[0].tolist()], "radius": [tree.radius[0]]})
 
     tagged = salted.select("pivot", "block", "vec_id", "v", F.xxhash64("v").alias("tag"))
@@ -223,8 +224,8 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", ve
     usable = materialise(usable, "vectors")
     width = max(1, usable.agg(F.max(F.size("v"))).first()[0] or 0)
     pivots = _pivots(usable, width)
-    data = _blocks(usable, pivots, width, block_rows, "data")
-    asking = _blocks(usable.where("asks").distinct(), pivots, width, block_rows, "queries")
+    data = _blocks(usable, pivots, width, block_rows, "data", LEAF)
+    asking = _blocks(usable.where("asks").distinct(), pivots, width, block_rows, "queries", QUERY_LEAF)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

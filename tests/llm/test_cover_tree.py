@@ -22,8 +22,8 @@ def test_pruned_and_exact(name):
     v = vectors(name)
     ids = np.arange(len(v))
     ask = ids[::20]
-    data = C.CoverTree(v, ids, ids)
-    queries = C.CoverTree(v[ask], ask, ask)
+    data = C.CoverTree(v, ids, ids, 32)
+    queries = C.CoverTree(v[ask], ask, ask, 32)
     assert name == "copies" or len(data.kids) > 8
     for node, kids in enumerate(data.kids):  # nested, covered, within the parent
         below = data.points[data.leaves[node]]
