@@ -811,7 +811,7 @@ def layer_and_clip(spark: SparkSession, sf: str) -> DataFrame:
 _PROBS = "WITH t AS (SELECT c_custkey, CAST(c_custkey % 3 AS INTEGER) AS y, 0.2 + CAST(c_nationkey % 4 AS DOUBLE) / 10 AS a, 0.1 + CAST(c_custkey % 4 AS DOUBLE) / 10 AS b FROM customer), u AS (SELECT c_custkey, y, a / (a + b + 0.3) AS p0, b / (a + b + 0.3) AS p1, 0.3 / (a + b + 0.3) AS p2 FROM t)"
 
 
-@query("class_losses", f"{_PROBS} SELECT c_custkey, CASE WHEN y = (CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END) THEN 0.0 ELSE 1.0 END AS zero_one, {_q('-ln(greatest(CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 1e-8))')} AS cross_entropy FROM u")
+@query("class_losses", f"{_PROBS} SELECT c_custkey, CASE WHEN y = (CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS zero_one, {_q('-ln(greatest(CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 1e-8))')} AS cross_entropy FROM u")
 def class_losses(spark: SparkSession, sf: str) -> DataFrame:
     t = _t(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 3).cast("int").alias("y"), (F.lit(0.2) + (F.col("c_nationkey") % 4).cast("double") / 10).alias("a"), (F.lit(0.1) + (F.col("c_custkey") % 4).cast("double") / 10).alias("b"))
     whole = F.col("a") + F.col("b") + F.lit(0.3)
