@@ -307,10 +307,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def _with_sets(docs: DataFrame, sets: DataFrame | None, wanted: DataFrame, firsts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """All sets fetched so far, with the wanted ones (fp); and these alone."""
+    wanted = materialise(wanted, "jaccard-wanted")
     lacking = wanted if sets is None else wanted.join(sets.select("fp"), "fp", "left_anti")
     more = materialise(_sets(docs, lacking.join(firsts, "fp"), width), "jaccard-members")
     sets = more if sets is None else sets.unionByName(more)
-    return sets, sets.join(wanted, "fp", "left_semi")
+    few = wanted.count() <= MAX_BROADCAST_IDS  # the members stay where they are then
+    return sets, sets.join(F.broadcast(wanted) if few else wanted, "fp", "left_semi")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -373,10 +375,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     opened = materialise(opened.select("fp", "label", "o", "crowded"), "jaccard-opened")
     crowd = opened.where("crowded")
     sets, crowded = _with_sets(docs, sets, crowd.select("fp"), firsts, width)
-    ranked = _counted(_members(crowded, heavy), "fp")
+    posted = materialise(_members(crowded, heavy), "jaccard-crowd")  # read three times below
+    ranked = _counted(posted, "fp")
     place = F.row_number().over(W.partitionBy("fp").orderBy("c", "token")) - 1 + F.col("n") - F.count(F.lit(1)).over(W.partitionBy("fp"))
     ranked = ranked.withColumn("pos", place).where(100 * (F.col("n") - F.col("pos")) >= need * F.col("n"))
     ranked = materialise(ranked.join(crowd, "fp").select("token", "fp", "n", "pos", "label", "o", "crowded"), "jaccard-ranked")
+    discard(posted)
     some = open_tokens.join(opened.drop("label"), "fp")
     across = materialise(_across(some, need, False).unionByName(_across(ranked, need, True)).distinct(), "jaccard-across")
     sets, all_sets = _with_sets(docs, sets, _ends(across), firsts, width)
