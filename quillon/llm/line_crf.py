@@ -9,6 +9,7 @@ Learning is by the likelihood of the chain in which every line has its document'
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -212,7 +213,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Learn from the documents that `labels` marks 0 or 1 by their id; nulls in id, label or text take no part.
 
     max_docs bounds the labels used: of more, about those with the smallest hashes of their id. They are broadcast to
-    the documents, so no text moves. Documents of more than max_lines lines are not used for learning. Without lines
+    the documents, so no text moves. Of a document of more than max_lines non-blank lines, that many consecutive ones
+    are learnt from, from a place that its text's checksum picks; neighbours' features are of the whole text. Without lines
     of both labels, every line is as good as the labels' mean (1/2 without labels).
     """
     known = labels.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("label")).where("__id IS NOT NULL AND label IN (0, 1)").distinct()
@@ -220,15 +222,19 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     share = min(cells, -(-max_docs * cells // max(1, known.count())))
     known = known.where(F.pmod(F.xxhash64("__id"), F.lit(cells)) < share)
     rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(known), "__id")
-    chosen = rows.where(F.col("text").isNotNull() & (F.size(F.split("text", "\n")) <= max_lines)).select("text", "label")
+    chosen = rows.where(F.col("text").isNotNull()).select("text", "label")
     width = 3 * len(FEATURES) + 3
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, labels = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int8)
-            x, who, _ = line_features(texts)
-            for d in np.unique(who):
-                yield pa.RecordBatch.from_arrays([pa.array([int(labels[d])], pa.int32()), pa.array([np.ascontiguousarray(x[who == d], np.float32).tobytes()])], names=["label", "x"])
+            texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in _slices(texts):
+                x, who, _ = line_features(texts[a:b])
+                for d in np.unique(who):
+                    own = x[who == d]
+                    at = zlib.crc32(texts[a + d].encode("utf-8", "surrogatepass")) % max(1, len(own) - max_lines + 1)
+                    own = np.ascontiguousarray(own[at : at + max_lines], np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([labels[a + d]], pa.int32()), pa.array([own.tobytes()])], names=["label", "x"])
 
     found = chosen.mapInArrow(features, "label int, x binary").collect()  # at most about max_docs rows of max_lines lines
     found.sort(key=lambda r: (r["label"], bytes(r["x"])))
