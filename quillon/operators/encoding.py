@@ -169,10 +169,10 @@ def impute(train: DataFrame, df: DataFrame, numeric: Sequence[str], categorical:
 
 
 def quantile_bins(train: DataFrame, df: DataFrame, column: str, output: str, bins: int | None = None) -> DataFrame:
-    """The number of the quantile bin, from 0; ceil(sqrt(n)) bins unless given, at most 1000."""
+    """The number of the quantile bin, from 0; ceil(sqrt(n)) bins unless given."""
     x = F.col(f"`{column}`").cast("double")
-    bins = min(1000, bins or max(1, math.ceil(math.sqrt(train.count()))))
-    edges = train.agg(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(1, bins))))).first()[0] if bins > 1 else []
+    bins = bins or max(1, math.ceil(math.sqrt(train.count())))
+    edges = train.agg(F.percentile(x, F.lit([i / bins for i in range(1, bins)]))).first()[0] or [] if bins > 1 else []
     return df.withColumn(output, F.when(x.isNotNull(), F.size(F.filter(F.lit(sorted(set(edges))), lambda e: e <= x))) if edges else F.lit(0))
 
 
