@@ -7,16 +7,16 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.primitives import preset, register_primitive
 from quillon.operators import linear, scaling
 from quillon.operators.ensemble import combine
 from quillon.operators.genetic import crossover, half_and_half, mutate
-from quillon.plans.compiler import MAX_GENES, features
+from quillon.plans.compiler import MAX_GENES, GroupFit, features, fit_groups, has_groups
 from quillon.plans.gene import Node, columns, formula, key, parse, simplify
-from quillon.sources.tables import check_features
+from quillon.sources.tables import check_features, load_model, read, save_model, write
 
 
 @dataclass
@@ -49,6 +49,7 @@ class FeatureForest:
     alpha: float = 1.0
     how: str = "mean"
     seed: int = 0
+    groups: dict[str, GroupFit] = field(default_factory=dict, init=False)
 
     def fit(self, df: DataFrame, columns_in: Sequence[str], y: str, row_id: str) -> FeatureForest:
         check_features(df, [*columns_in, y])
@@ -66,6 +67,7 @@ class FeatureForest:
             best = {tuple(key(g) for g in p.genes): p for p in [*self.hall, *people]}
             self.hall = sorted(best.values(), key=lambda p: (p.error, [key(g) for g in p.genes]))[: self.ensemble]
             if generation == self.generations:
+                self.groups = fit_groups(df, [g for p in self.hall for g in p.genes])
                 break
             parents = self._select(rnd, people, losses, self.population)
             people = [self._vary(rnd, parents[i], parents[(i + 1) % len(parents)], usable, names) for i in range(len(parents))]
@@ -117,10 +119,16 @@ class FeatureForest:
     def _table(self, df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
         unique = {key(g): g for p in self.hall for g in p.genes}
         place = {k: f"__g{i}" for i, k in enumerate(unique)}
-        return features(df, list(unique.values()), list(place.values()), keep=df.columns), place
+        return features(df, list(unique.values()), list(place.values()), keep=df.columns, groups=self._fitted()), place
+
+    def _fitted(self) -> dict[str, GroupFit]:
+        """The group statistics of the training rows; a forest restored without its tables has none."""
+        if not self.groups and any(has_groups(g) for p in self.hall for g in p.genes):
+            raise ValueError("its genes need group tables: save() and load() keep them")
+        return self.groups
 
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
-        """df with the ensemble's prediction."""
+        """df with the ensemble's prediction; a row's does not depend on the rows scored with it."""
         rows, place = self._table(df)
         named = {}
         for i, p in enumerate(self.hall):
@@ -143,7 +151,7 @@ class FeatureForest:
         found = self.importance()
         edge = float(np.quantile(list(found.values()), 1 - ratio))
         chosen = [g for g, v in found.items() if v >= edge]
-        return features(df, chosen, [f"f{i}" for i in range(len(chosen))], keep=df.columns if keep_inputs else [self.row_id])
+        return features(df, chosen, [f"f{i}" for i in range(len(chosen))], keep=df.columns if keep_inputs else [self.row_id], groups=self._fitted())
 
     def formula(self) -> str:
         """The best individual as an infix formula."""
@@ -155,8 +163,25 @@ class FeatureForest:
         """The fitted ensemble as plain values, for save_model()."""
         return {"inputs": self.inputs, "target": self.target, "row_id": self.row_id, "how": self.how, "members": [{"genes": [key(g) for g in p.genes], "error": p.error, "intercept": p.model.intercept, "coefficients": list(p.model.coefficients)} for p in self.hall]}
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted ensemble under a folder: its description as JSON, each group-by call's table as Parquet."""
+        names = sorted(self.groups)
+        for i, name in enumerate(names):
+            write(self.groups[name].table, f"{path}/group-{i}")
+        fits = [{"call": n, "bins": f.bins, "unseen": f.unseen, "without": f.without} for n, f in ((n, self.groups[n]) for n in names)]
+        save_model(spark, self.describe() | {"groups": fits}, f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FeatureForest:
+        found = load_model(spark, f"{path}/model")
+        out = cls.restore(found)
+        for i, g in enumerate(found["groups"]):
+            out.groups[g["call"]] = GroupFit(tuple(g["bins"]) if g["bins"] else None, read(spark, f"{path}/group-{i}"), g["unseen"], g["without"])
+        return out
+
     @classmethod
     def restore(cls, found: dict) -> FeatureForest:
+        """A forest from describe(); where its genes hold group-by calls, use save() and load()."""
         out = cls(how=found["how"])
         out.inputs, out.target, out.row_id = found["inputs"], found["target"], found["row_id"]
         out.hall = [Individual([parse(g) for g in m["genes"]], m["error"], linear.LinearModel(tuple(m["genes"]), m["intercept"], tuple(m["coefficients"]))) for m in found["members"]]

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.estimator import FeatureForest
+from quillon.estimator import FeatureForest, Individual
 from quillon.operators import encoding, ensemble, linear, metrics, sampling, scaling, selection
+from quillon.plans.compiler import features, fit_groups
+from quillon.plans.gene import key, parse
 from quillon.sources import tables
 from quillon.streaming import scoring
 
@@ -27,6 +29,26 @@ def test_forest_learns_a_product(spark, data, tmp_path):
     assert gap < 1e-9
 
 
+def test_prediction_does_not_depend_on_the_batch(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS k", "sin(id) + 2 AS v", "id * 0.37 AS w", "sin(id) + id % 7 AS y").cache()
+    forest = FeatureForest(population=4, generations=0, genes=2, depth=1, ensemble=2).fit(rows, ["k", "v", "w"], "y", "id")
+    genes = [parse(g) for g in ("GroupByMean(k, v)", "Add(GroupByCount(k), GroupByVar(w, v))", "GroupByMax(GroupByMedian(k, v), w)", "GroupByCount(w)")]
+    forest.hall = [Individual(genes, 0.0, linear.LinearModel(tuple(key(g) for g in genes), 1.0, (1.0, 2.0, 3.0, 4.0)))]
+    with pytest.raises(ValueError):
+        forest.predict(rows)
+    forest.groups = fit_groups(rows, genes)
+    whole = {r["id"]: r["prediction"] for r in forest.predict(rows).collect()}
+    plain = features(rows, genes, keep=["id"]).collect()
+    assert len(whole) == 200 and all(abs(1 + r.g0 + 2 * r.g1 + 3 * r.g2 + 4 * r.g3 - whole[r.id]) < 1e-9 for r in plain)
+    forest.save(spark, str(tmp_path / "forest"))
+    again = FeatureForest.load(spark, str(tmp_path / "forest"))
+    for i in (0, 123):
+        assert abs(again.predict(rows.where(f"id = {i}")).first()["prediction"] - whole[i]) < 1e-9
+    unseen = features(spark.createDataFrame([(99.0, 4.0), (None, 4.0)], "k double, v double"), genes[:1], groups=forest.groups).collect()
+    mean = rows.agg(F.avg("v")).first()[0]
+    assert all(abs(r[0] - 4 / mean) < 1e-9 for r in unseen)
+
+
 def test_sources(spark, data, tmp_path):
     for kind in tables.FORMATS:
         tables.write(data, str(tmp_path / kind), kind)
