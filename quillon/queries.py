@@ -167,6 +167,26 @@ def group_fitted(spark: SparkSession, sf: str) -> DataFrame:
     return compiler.apply_group_table(df, table, "c_nationkey", 0.0, "stat").select("c_custkey", _r(F.col("stat"), 4).alias("stat"))
 
 
+#: Training rows of group_fitted_genes: enough that nations repeat, so keys are taken as they are; one nation is not seen.
+_SEEN = "c_custkey % 10 <> 0 AND c_nationkey <> 3"
+
+
+@query(
+    "group_fitted_genes",
+    f"""WITH t AS (SELECT * FROM customer WHERE {_SEEN}),
+        s AS (SELECT c_nationkey, avg(c_acctbal) AS m, max(c_acctbal) AS h, CAST(count(*) AS DOUBLE) AS n FROM t GROUP BY c_nationkey),
+        g AS (SELECT avg(c_acctbal) AS m, max(c_acctbal) AS h, (SELECT avg(n) FROM s) AS n FROM t)
+        SELECT c_custkey, {_q("c_acctbal / coalesce(s.m, g.m)", 4)} AS g_mean, {_q("c_acctbal / coalesce(s.h, g.h)", 4)} AS g_max, {_q("coalesce(s.n, g.n)", 4)} AS g_count
+        FROM customer LEFT JOIN s USING (c_nationkey) CROSS JOIN g""",
+)
+def group_fitted_genes(spark: SparkSession, sf: str) -> DataFrame:
+    df = _t(spark, sf, "customer")
+    genes, names = ["GroupByMean(c_nationkey, c_acctbal)", "GroupByMax(c_nationkey, c_acctbal)", "GroupByCount(c_nationkey)"], ["g_mean", "g_max", "g_count"]
+    fits = compiler.fit_groups(df.where(_SEEN), genes)
+    rows = compiler.features(df, genes, names, keep=["c_custkey"], groups=fits)
+    return rows.select("c_custkey", *(_r(F.col(n), 4).alias(n) for n in names))
+
+
 # --- scalers ----------------------------------------------------------------------------------------------------
 
 _SCALED = {
