@@ -85,6 +85,13 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an expression whose text is ASCII; null gives null. DuckDB has no such function."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ord(substr({text}, i, 1))::BIGINT)"
+    byte = "list_reduce(range(8), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, b))"
+    return f"xor(list_reduce({codes}, lambda c, b: {byte}, 4294967295), 4294967295)"
+
+
 def trim_worker(keep: bool = False) -> None:
     """In a Python worker: drop the token cache that an earlier task left, unless told to keep it, and give freed memory back.
 

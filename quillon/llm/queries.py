@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, jaccard_join, language_id, line_crf, mixing, packing, quality_rules, sharding, suffix_dedup, tokens
-from ._shared import held_out, learnable
+from . import cover_tree, decontaminate, jaccard_join, language_id, line_crf, mixing, packing, periodic_runs, quality_rules, sharding, suffix_dedup, tokens
+from ._shared import crc32_sql, held_out, learnable, let, words
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TABLE = 65537
@@ -163,6 +163,97 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
+
+
+def op11_sql() -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+        WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS ws FROM documents),
+        bench AS (SELECT CAST(item_id AS VARCHAR) AS item_id, ws, least(10, len(ws)) AS size FROM (SELECT item_id, {words} AS ws FROM benchmark) WHERE len(ws) > 0),
+        windows AS (SELECT DISTINCT item_id, size, array_to_string(ws[i + 1 : i + size], ' ') AS win FROM (SELECT *, unnest(range(len(ws) - size + 1)) AS i FROM bench)),
+        sizes AS (SELECT DISTINCT size FROM windows),
+        places AS (SELECT rid, size, i, array_to_string(ws[i + 1 : i + size], ' ') AS win FROM (SELECT *, unnest(range(len(ws) - size + 1)) AS i FROM docs, sizes WHERE len(ws) >= size)),
+        hits AS (SELECT rid, i, size, item_id FROM places JOIN windows USING (size, win)),
+        hit_words AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS place FROM hits) GROUP BY rid),
+        ids AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hit_words USING (rid) LEFT JOIN ids USING (rid)
+    """
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth document by crc32 of its id gets a period from some word on; a null id none."""
+
+    def planted(ws: Column) -> Column:
+        n, g = F.size(ws), F.expr("__h div 10")
+        a = F.pmod(g, n)
+        p = F.floor((n - a) / (3 + g % 8)).cast("int") + 1
+        return let(F.struct(a.cast("int").alias("a"), p.alias("p")), lambda x: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ws, F.when(i < x["a"], i).otherwise(x["a"] + (i - x["a"]) % x["p"]))), " "))
+
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("__h"))
+    changed = let(words(F.col("text")), lambda ws: F.when(F.size(ws) > 0, planted(ws)))
+    return hashed.select("doc_id", F.when(F.col("__h") % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_periods(_table(spark, sf_dir, "documents"))
+    found = periodic_runs.find(docs).drop("text")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", "runs", "collapsed", best.alias("b"), F.array_join(lines, "").alias("lines")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("b.start")).alias("start"),
+        F.col("b.length").alias("length"),
+        (-F.col("b.period")).alias("period"),
+        F.expr("1000 * b.length div -b.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_sql() -> str:
+    return rf"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {crc32_sql("CAST(doc_id AS VARCHAR)")} AS h
+            FROM documents
+        ),
+        sized AS (SELECT *, len(ws) AS n, h // 10 AS g FROM docs),
+        placed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM sized),
+        stepped AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+        planted AS (
+            SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS ws
+            FROM stepped
+        ),
+        words AS (SELECT rid, n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM planted),
+        -- a run of period p begins with max(p, 12 - p) or more places in a row whose word comes again p words on
+        pairs AS (SELECT x.rid, x.i, y.i - x.i AS p FROM words x JOIN words y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+        enough AS (SELECT rid, p FROM pairs GROUP BY rid, p HAVING count(*) >= greatest(p, 12 - p)),
+        islands AS (
+            SELECT rid, p, min(i) AS start, count(*) + p AS length
+            FROM (SELECT rid, p, i, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS island FROM pairs SEMI JOIN enough USING (rid, p))
+            GROUP BY rid, p, island HAVING count(*) >= greatest(p, 12 - p)
+        ),
+        runs AS (SELECT rid, start, length, min(p) AS period FROM islands GROUP BY rid, start, length),
+        by_doc AS (
+            SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+                   list(struct_pack(start := start, length := length, period := period) ORDER BY length DESC, start, period) AS best
+            FROM runs GROUP BY rid
+        ),
+        dropped AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+        kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS body FROM words ANTI JOIN dropped USING (rid, i) GROUP BY rid)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1].start AS start, CAST(best[1].length AS BIGINT) AS length, best[1].period AS period,
+               CAST(1000 * best[1].length // best[1].period AS BIGINT) AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+        FROM planted LEFT JOIN by_doc USING (rid) LEFT JOIN kept USING (rid)
+    """
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
@@ -174,8 +265,10 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_decontamination": op11_decontamination,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_sharding": op2_sql(), "op3_top_k": op3_sql(), "op7_quality_rules": op7_sql()}
+    return {"op2_sharding": op2_sql(), "op3_top_k": op3_sql(), "op7_quality_rules": op7_sql(), "op11_decontamination": op11_sql(), "op13_periodic_runs": op13_sql()}
