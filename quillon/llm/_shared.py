@@ -45,6 +45,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written(spark: SparkSession, path: str) -> None:
+    """Note a folder that the process is to delete when it ends."""
+    _made.append((spark, path))
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialise() that nothing reads any more."""
     path = getattr(df, "_quillon_path", None)

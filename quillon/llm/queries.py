@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, decontaminate, jaccard_join, language_id, line_crf, mixing, packing, periodic_runs, quality_rules, sharding, suffix_dedup, tokens
+from . import cover_tree, decontaminate, jaccard_join, language_id, leaderboard, line_crf, mixing, packing, periodic_runs, quality_rules, sharding, suffix_dedup, tokens
 from ._shared import crc32_sql, held_out, learnable, let, words
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -186,6 +186,71 @@ def op11_sql() -> str:
     """
 
 
+#: Items of one shard of a board at most, about.
+SHARD_ITEMS = 20_000
+
+
+def sale_line_amounts(lines: DataFrame, vendors: DataFrame, items: DataFrame) -> DataFrame:
+    """board, item, day, arrival, amount and batch of every sale line; board or item are null where a line is ignored."""
+    key = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "item_id", "vendor_id", "line_no")))
+    rows = lines.select("item_id", "vendor_id", "quantity", "amount", "flag", "shipped_at", F.crc32(key.cast("binary")).alias("h"))
+    day = F.coalesce(F.unix_date(F.to_date("shipped_at")).cast("long"), 19723 + F.col("h") % 150)
+    rows = rows.select("item_id", "vendor_id", "quantity", "amount", (F.col("flag") == "swapped").alias("swapped"), "h", day.alias("day"))
+    rows = rows.withColumn("arrival", F.col("day") + F.col("h") % 7 + F.when(F.col("h") % 5 == 0, 20).otherwise(0)).drop("h")
+    rows = leaderboard.with_looked_up(rows, vendors, "vendor_id", {"nation_id": "min(nation_id)"}).drop("vendor_id", "found")
+    rows = leaderboard.with_looked_up(rows, items, "item_id", {"price": "max(price)"})
+    cents = lambda x: F.floor(100 * x + 0.5).cast("double")
+    paid = F.coalesce(cents(F.col("amount")), F.col("quantity") * cents(F.col("price")), F.lit(0.0))
+    batch = F.least(F.lit(10), 1 + F.floor((F.col("arrival") - 19723) * 10 / 180))
+    return rows.select(F.col("nation_id").alias("board"), F.when(F.col("found"), F.col("item_id")).alias("item"), "day", "arrival", F.when(F.coalesce("swapped", F.lit(False)), -paid).otherwise(paid).alias("amount"), batch.cast("int").alias("batch"))
+
+
+def op12_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "items")
+    lines = sale_line_amounts(_table(spark, sf_dir, "sale_lines"), _table(spark, sf_dir, "vendors"), items)
+    feed = leaderboard.change_feed(lines, shards=max(32, -(-items.count() // SHARD_ITEMS)))
+    return feed.select(F.col("board").alias("nation_id"), F.col("arrival").alias("arrival_day"), F.col("item").alias("item_id"), "batch", "change", "old_rank", "new_rank", F.col("amount").cast("long").alias("revenue"))
+
+
+def op12_sql() -> str:
+    key = "concat_ws(',', coalesce(CAST(sale_id AS VARCHAR), ''), coalesce(CAST(item_id AS VARCHAR), ''), coalesce(CAST(vendor_id AS VARCHAR), ''), coalesce(CAST(line_no AS VARCHAR), ''))"
+    return f"""
+        WITH hashed AS (SELECT *, {crc32_sql("k")} AS h FROM (SELECT *, {key} AS k FROM sale_lines)),
+        dated AS (SELECT *, coalesce(CAST(date_diff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)) AS BIGINT), 19723 + h % 150) AS s FROM hashed),
+        arrived AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM dated),
+        cut AS (SELECT *, least(10, 1 + CAST(floor((a - 19723) * 10 / 180) AS BIGINT)) AS batch FROM arrived),
+        latest AS (SELECT batch, max(s) AS top FROM cut GROUP BY batch),
+        marks AS (SELECT x.batch, max(y.top) AS high FROM latest x LEFT JOIN latest y ON y.batch < x.batch GROUP BY x.batch),
+        used AS (
+            SELECT nation_id, item_id, a, batch,
+                   CASE WHEN flag = 'swapped' THEN -1 ELSE 1 END * coalesce(floor(100 * amount + 0.5), quantity * floor(100 * price + 0.5), 0) AS cents
+            FROM cut JOIN marks USING (batch) JOIN vendors USING (vendor_id) JOIN items USING (item_id)
+            WHERE nation_id IS NOT NULL AND (high IS NULL OR s + 3 >= high)
+        ),
+        daily AS (SELECT nation_id, item_id, a, sum(cents) AS cents FROM used GROUP BY ALL),
+        running AS (
+            SELECT nation_id, item_id, a, sum(cents) OVER p AS revenue, coalesce(lead(a) OVER p, 1000000) AS upto
+            FROM daily WINDOW p AS (PARTITION BY nation_id, item_id ORDER BY a)
+        ),
+        days AS (SELECT nation_id, a AS d, lag(a) OVER (PARTITION BY nation_id ORDER BY a) AS before FROM (SELECT DISTINCT nation_id, a FROM daily)),
+        ranked AS (
+            SELECT nation_id, d, item_id, row_number() OVER (PARTITION BY nation_id, d ORDER BY revenue DESC, item_id) AS r
+            FROM running JOIN days USING (nation_id) WHERE a <= d AND d < upto AND revenue > 0
+        ),
+        boards AS (SELECT * FROM ranked WHERE r <= 10),
+        old AS (SELECT nation_id, days.d, item_id, r FROM boards JOIN days USING (nation_id) WHERE days.before = boards.d),
+        changed AS (
+            SELECT coalesce(n.nation_id, o.nation_id) AS nation_id, coalesce(n.d, o.d) AS d, coalesce(n.item_id, o.item_id) AS item_id, o.r AS old_rank, n.r AS new_rank
+            FROM boards n FULL JOIN old o ON n.nation_id = o.nation_id AND n.d = o.d AND n.item_id = o.item_id
+            WHERE o.r IS DISTINCT FROM n.r
+        )
+        SELECT c.nation_id, c.d AS arrival_day, c.item_id, CAST(least(10, 1 + CAST(floor((c.d - 19723) * 10 / 180) AS BIGINT)) AS INTEGER) AS batch,
+               CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change,
+               CAST(old_rank AS INTEGER) AS old_rank, CAST(new_rank AS INTEGER) AS new_rank, CAST(revenue AS BIGINT) AS revenue
+        FROM changed c JOIN running r ON r.nation_id = c.nation_id AND r.item_id = c.item_id AND r.a <= c.d AND c.d < r.upto
+    """
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text, where every tenth document by crc32 of its id gets a period from some word on; a null id none."""
 
@@ -266,9 +331,10 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_decontamination": op11_decontamination,
+    "op12_leaderboard": op12_leaderboard,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_sharding": op2_sql(), "op3_top_k": op3_sql(), "op7_quality_rules": op7_sql(), "op11_decontamination": op11_sql(), "op13_periodic_runs": op13_sql()}
+    return {"op2_sharding": op2_sql(), "op3_top_k": op3_sql(), "op7_quality_rules": op7_sql(), "op11_decontamination": op11_sql(), "op12_leaderboard": op12_sql(), "op13_periodic_runs": op13_sql()}
