@@ -71,11 +71,14 @@ def _pack(values: Iterable, kind: type) -> bytes:
 
 def _days(frames: Iterator, *columns: str) -> Iterator[tuple[int, list[tuple]]]:
     """The rows of the group's frames by arrival day, in order."""
-    import pandas as pd
-
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("arrival", kind="stable")
-    for day, part in rows.groupby("arrival", sort=True):
-        yield int(day), list(zip(*(part[c].tolist() for c in columns), strict=True))
+    parts = list(frames)
+    day = np.concatenate([p["arrival"].to_numpy() for p in parts])
+    turn = np.argsort(day, kind="stable")
+    day = day[turn]
+    values = [np.concatenate([p[c].to_numpy() for p in parts])[turn].tolist() for c in columns]
+    edges = [0, *(np.flatnonzero(np.diff(day)) + 1).tolist(), len(day)]
+    for at, upto in zip(edges, edges[1:], strict=False):
+        yield int(day[at]), list(zip(*(v[at:upto] for v in values), strict=True))
 
 
 class ShardState(StatefulProcessor):
@@ -184,7 +187,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def change_feed(lines: DataFrame, batch: str = "batch", top: int = 10, lateness: int = 3, shards: int = 32) -> DataFrame:
+def change_feed(lines: DataFrame, batch: str = "batch", top: int = 10, lateness: int = 3, shards: int = 16) -> DataFrame:
     """The changes of every board's first `top` items after each arrival day, as CHANGES.
 
     lines has the columns of LINES and a number of the batch by which it is fed, in ascending order; a batch must hold

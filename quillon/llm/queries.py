@@ -208,7 +208,7 @@ def sale_line_amounts(lines: DataFrame, vendors: DataFrame, items: DataFrame) ->
 def op12_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _table(spark, sf_dir, "items")
     lines = sale_line_amounts(_table(spark, sf_dir, "sale_lines"), _table(spark, sf_dir, "vendors"), items)
-    feed = leaderboard.change_feed(lines, shards=max(32, -(-items.count() // SHARD_ITEMS)))
+    feed = leaderboard.change_feed(lines, shards=max(16, -(-items.count() // SHARD_ITEMS)))
     return feed.select(F.col("board").alias("nation_id"), F.col("arrival").alias("arrival_day"), F.col("item").alias("item_id"), "batch", "change", "old_rank", "new_rank", F.col("amount").cast("long").alias("revenue"))
 
 
