@@ -37,7 +37,9 @@ BUCKETS = 8
 #: Arrow batches of which a task sums equal keys together before they are shuffled.
 SUMMED_BATCHES = 64
 
+#: A query takes one batch and ends, so its stores are closed at the commit, not kept open for a next one.
 _CONF = {
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
