@@ -1,25 +1,50 @@
-"""Neighbours in the order of a column, without a window over all rows.
+"""Neighbours and ranks in the order of a column, without a window over all rows.
 
-Rows are cut into buckets at the column's approximate quantiles; windows run within a bucket, and the last rows of the
-buckets before it, of which there are at most two a bucket, are carried into it.
+Rows are dealt by ranges of the column and a tie, as many ranges as the session has shuffle partitions, so that ranges
+grow in number with the cluster and a hot value is split by the tie. Windows run within a range; what crosses its ends
+are a few rows of each range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Buckets, however many rows there are; windows over buckets have one row each.
-BUCKETS = 200
+from quillon.sources.scratch import stored
+
+
+def by_range(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """df with part: the number of its range in the order of the columns; stored, so that ranges stay as they are."""
+    return stored(df.repartitionByRange(*columns).withColumn("part", F.spark_partition_id()), name)
 
 
-def bucket_of(df: DataFrame, value: Column, n: int = BUCKETS) -> Column:
-    """The number of the bucket of a value, from 0; equal values share one, and nulls are in bucket 0."""
-    kind = df.select(value.alias("v")).dtypes[0][1]
-    x = (value.cast("timestamp") if kind in ("timestamp_ntz", "date") else value).cast("double")
-    edges = df.agg(F.percentile_approx(x, F.array(*(F.lit(i / n) for i in range(1, n))), F.lit(10_000))).first()[0]
-    return F.coalesce(F.size(F.filter(F.lit(sorted(set(edges))), lambda e: e <= x)), F.lit(0)) if edges else F.lit(0)
+def with_neighbours(df: DataFrame, x: str, tie: str, values: Sequence[str], back: int = 1, ahead: int = 0) -> DataFrame:
+    """df's x, tie and values as they are, with <value>_<k> for k = -back..ahead except 0: the value k rows on.
+
+    Order is by x, then tie, which must tell rows of equal x apart; nulls come first. Where no such row is, null.
+    """
+    names = list(dict.fromkeys([x, tie, *values]))
+    rows = by_range(df.select(*(F.col(f"`{c}`") for c in names)), [x, tie], "ordered")
+    order = [F.col(f"`{x}`").asc_nulls_first(), F.col(f"`{tie}`").asc_nulls_first()]
+    up = F.row_number().over(W.partitionBy("part").orderBy(*order))
+    down = F.row_number().over(W.partitionBy("part").orderBy(*(F.col(f"`{c}`").desc_nulls_last() for c in (x, tie))))
+    edges = rows.withColumns({"up": up, "down": down}).where((F.col("up") <= ahead) | (F.col("down") <= back)).collect()  # a few of each range
+    parts: dict[int, list] = {}
+    for r in edges:
+        parts.setdefault(r["part"], []).append(r)
+    carried, known = [], sorted(parts)
+    for p in known:
+        before = [r for q in known if q < p for r in sorted(parts[q], key=lambda r: -r["down"]) if r["down"] <= back]
+        after = [r for q in known if q > p for r in sorted(parts[q], key=lambda r: r["up"]) if r["up"] <= ahead]
+        carried += [(*(r[c] for c in names), p, True) for r in before[len(before) - back if back < len(before) else 0 :] + after[:ahead]]
+    own = rows.withColumn("carried", F.lit(False))
+    spread = own.unionByName(df.sparkSession.createDataFrame(carried, own.schema))
+    over = W.partitionBy("part").orderBy(*order)
+    shifted = [F.lag(c, -k).over(over).alias(f"{c}_{k}") for c in values for k in range(-back, ahead + 1) if k]
+    return spread.select("*", *shifted).where("NOT carried").drop("part", "carried")
 
 
 def with_previous(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
@@ -28,22 +53,14 @@ def with_previous(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     tie must tell rows of equal x apart. The first rows have nulls; an empty table gives none.
     """
     rows = df.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(tie).alias("tie"))
-    rows = rows.withColumns({"b": bucket_of(rows, F.col("x")), "carried": F.lit(False)})
-    back = F.row_number().over(W.partitionBy("b").orderBy(F.col("x").desc(), F.col("tie").desc()))
-    ends = sorted(rows.withColumn("r", back).where("r <= 2").collect(), key=lambda r: (r["b"], -r["r"]))  # two a bucket at most
-    carried = []
-    for b in {r["b"] for r in ends}:
-        carried += [(r["x"], r["y"], r["tie"], b, True) for r in [r for r in ends if r["b"] < b][-2:]]
-    spread = rows.unionByName(df.sparkSession.createDataFrame(carried, rows.schema))
-    by = W.partitionBy("b").orderBy("x", "tie")
-    lagged = spread.select("*", *(F.lag(c, k).over(by).alias(f"{c}{k}") for c in "xy" for k in (1, 2)))
-    return lagged.where("NOT carried").drop("b", "carried")
+    found = with_neighbours(rows, "x", "tie", ["x", "y"], back=2)
+    return found.select("x", "y", "tie", *(F.col(f"{c}_-{k}").alias(f"{c}{k}") for c in "xy" for k in (1, 2)))
 
 
 def ranks(counts: DataFrame, value: str, n: str) -> DataFrame:
     """counts (one row per value) with upto: how many rows have this value or a smaller one."""
-    cut = counts.withColumn("__b", bucket_of(counts, F.col(value)))
+    cut = by_range(counts, [value], "ranks").withColumnRenamed("part", "__b")
     base = cut.groupBy("__b").agg(F.sum(n).alias("__s"))
-    base = base.select("__b", (F.sum("__s").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__s")).alias("__base"))  # one row a bucket
+    base = base.select("__b", (F.sum("__s").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__s")).alias("__base"))  # one row a range
     inside = F.sum(n).over(W.partitionBy("__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
     return cut.withColumn("upto", inside).join(F.broadcast(base), "__b").withColumn("upto", F.col("upto") + F.col("__base")).drop("__b", "__base")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.operators.ordered import with_neighbours
+
 #: A loss table with at most so many values is collected for lexicase; larger ones are filtered in Spark.
 MAX_COLLECT = 5_000_000
 
@@ -117,35 +119,17 @@ def pareto_front(population: DataFrame, objectives: Sequence[str]) -> DataFrame:
     return population.alias("a").join(population.alias("b"), _dominates("b", "a", objectives), "left_anti")
 
 
-def pareto_layers(population: DataFrame, objectives: Sequence[str], limit: int = 100_000) -> DataFrame:
-    """population with front: 0 for the rows that none dominates, 1 for those that only they dominate, and so on.
-
-    A population is the driver's own list of individuals, so its objectives are collected, up to `limit` rows.
-    """
-    rows = population.select("ind_id", *objectives).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} individuals")
-    values = np.array([[r[o] for o in objectives] for r in rows], np.float64).reshape(len(rows), len(objectives))
-    front, left, layer = {}, np.arange(len(rows)), 0
-    while len(left):
-        part = values[left]
-        first = np.array([not ((part <= v).all(1) & (part < v).any(1)).any() for v in part])
-        front |= {rows[i]["ind_id"]: layer for i in left[first]}
-        left, layer = left[~first], layer + 1
-    kind = dict(population.dtypes)["ind_id"]
-    found = population.sparkSession.createDataFrame(list(front.items()), f"ind_id {kind}, front int")
-    return population.join(found, "ind_id")
-
-
 def crowding(population: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """population with crowding: sum over objectives of the neighbours' distance over the range; infinite at the ends."""
     ranges = population.agg(*(F.max(o).alias(f"hi_{o}") for o in objectives), *(F.min(o).alias(f"lo_{o}") for o in objectives)).first()
-    total = F.lit(0.0)
-    for o in objectives:
-        by = W.orderBy(o, "ind_id")
+    total, out = F.lit(0.0), population
+    for i, o in enumerate(objectives):
         span = (ranges[f"hi_{o}"] - ranges[f"lo_{o}"]) or 1.0
-        total += F.coalesce((F.lead(o).over(by) - F.lag(o).over(by)) / F.lit(span), F.lit(float("inf")))
-    return population.withColumn("crowding", total)
+        near = with_neighbours(population, o, "ind_id", [o], back=1, ahead=1)
+        apart = (F.col(f"`{o}_1`") - F.col(f"`{o}_-1`")) / F.lit(span)
+        out = out.join(near.select("ind_id", F.coalesce(apart, F.lit(float("inf"))).alias(f"__c{i}")), "ind_id")
+        total += F.col(f"__c{i}")
+    return out.withColumn("crowding", total).drop(*(f"__c{i}" for i in range(len(objectives))))
 
 
 def knee_point(front: DataFrame, one: str, two: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from quillon.estimator import FeatureForest
 from quillon.functions.primitives import get_primitive, sanitise
-from quillon.operators import complexity, encoding, ensemble, importance, knn, learners, linear, metrics, retrieval, sampling, scaling, selection, timeseries
+from quillon.operators import complexity, encoding, ensemble, importance, knn, learners, linear, metrics, pareto, retrieval, sampling, scaling, selection, timeseries
 from quillon.plans import compiler
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -453,6 +453,46 @@ def crowding_distance(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("ind_id", _r(F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.col("crowding")), 9).alias("crowding"))
 
 
+_GOALS = ["fitness", "size", "third"]
+_POP3 = f"SELECT *, CAST((ind_id * 7919) % 1009 AS DOUBLE) AS third FROM ({_POP})"
+#: The layer of a row is the longest chain of rows that dominate it one after the other.
+_LAYERS = f"""p AS ({_POP3}), e AS (
+    SELECT a.ind_id AS a, b.ind_id AS b FROM p a JOIN p b ON a.fitness <= b.fitness AND a.size <= b.size AND a.third <= b.third
+    AND (a.fitness < b.fitness OR a.size < b.size OR a.third < b.third)),
+    chains AS (SELECT ind_id, 0 AS layer FROM p UNION SELECT e.b, layer + 1 FROM chains JOIN e ON e.a = chains.ind_id),
+    layers AS (SELECT ind_id, max(layer) AS layer FROM chains GROUP BY ind_id)"""
+
+
+def _population3(spark: SparkSession, sf: str) -> DataFrame:
+    return _population(spark, sf).withColumn("third", (F.col("ind_id") * 7919 % 1009).cast("double"))
+
+
+@query("pareto_layers", f"WITH RECURSIVE {_LAYERS} SELECT ind_id, CAST(layer AS INTEGER) AS layer FROM layers")
+def pareto_layers(spark: SparkSession, sf: str) -> DataFrame:
+    return pareto.layers(_population3(spark, sf), _GOALS, "ind_id")
+
+
+_CROWD = " + ".join(f"coalesce((lead({o}) OVER w{o} - lag({o}) OVER w{o}) / (CASE WHEN max({o}) OVER l > min({o}) OVER l THEN 3 * (max({o}) OVER l - min({o}) OVER l) ELSE 1.0 END), 'inf'::DOUBLE)" for o in _GOALS)
+
+
+@query(
+    "nsga2_survivors",
+    f"""WITH RECURSIVE {_LAYERS},
+    c AS (SELECT ind_id, layer, {_CROWD} AS crowding FROM p JOIN layers USING (ind_id) WINDOW l AS (PARTITION BY layer), {", ".join(f"w{o} AS (PARTITION BY layer ORDER BY {o}, ind_id)" for o in _GOALS)}),
+    r AS (SELECT *, row_number() OVER (ORDER BY layer, crowding DESC, ind_id) AS r, max(layer) OVER () AS top FROM c)
+    SELECT ind_id, CAST(layer AS INTEGER) AS layer FROM r WHERE r <= (SELECT count(*) // 3 FROM p)""",
+)
+def nsga2_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    population = _population3(spark, sf)
+    return pareto.nsga2(population, _GOALS, "ind_id", population.count() // 3).select("ind_id", "layer")
+
+
+@query("nsga3_survivors")
+def nsga3_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    population = _population3(spark, sf)
+    return pareto.nsga3(population, _GOALS, "ind_id", population.count() // 3).select("ind_id", "layer", "niche", "distance")
+
+
 @query("knee_point", f"WITH p AS ({_POP}), f AS (SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.fitness <= a.fitness AND b.size <= a.size AND (b.fitness < a.fitness OR b.size < a.size))), r AS (SELECT min(fitness) AS a, CASE WHEN max(fitness) > min(fitness) THEN max(fitness) - min(fitness) ELSE 1.0 END AS b, min(size) AS c, CASE WHEN max(size) > min(size) THEN max(size) - min(size) ELSE 1.0 END AS d FROM f) SELECT ind_id, {_q('abs((fitness - a) / b + (size - c) / d - 1.0) / sqrt(2.0)')} AS knee_distance FROM f, r ORDER BY abs((fitness - a) / b + (size - c) / d - 1.0) DESC, ind_id LIMIT 1")
 def knee_point(spark: SparkSession, sf: str) -> DataFrame:
     front = selection.pareto_front(_population(spark, sf), ["fitness", "size"])
