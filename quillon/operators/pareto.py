@@ -11,6 +11,7 @@ many layers as fit into MERGED rows, layer those rows together, and go on with t
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -24,9 +25,9 @@ from quillon.operators.ordered import with_neighbours
 from quillon.sources.scratch import stored
 
 #: Rows of a sector, about; a sector with more is cut by a hash of the key.
-SECTOR_ROWS = 10_000
-#: Rows that are layered together in one task; more are first thinned by blocks of so many rows.
-MERGED = 60_000
+SECTOR_ROWS = 20_000
+#: Rows that are layered together in one task, a tenth of it beyond three objectives; more are thinned by blocks of so many rows.
+MERGED = 200_000
 
 
 def layer_array(values: np.ndarray, upto: int | None = None) -> np.ndarray:
@@ -49,6 +50,8 @@ def layer_array(values: np.ndarray, upto: int | None = None) -> np.ndarray:
                 last.append(second)
             else:
                 last[k] = second
+    elif m == 3:
+        found = _layers_by_staircases(distinct)
     else:
         found = _layers_by_insertion(distinct)
     if upto is not None:
@@ -68,6 +71,31 @@ def _first_below(last: list[float], second: float) -> int:
     return lo
 
 
+def _layers_by_staircases(rows: np.ndarray) -> np.ndarray:
+    """As _layers_by_insertion for three objectives: of each layer the rows that matter in the second and third, as a
+    staircase, so that one bisection says whether any of the layer dominates."""
+    out = np.empty(len(rows), np.int64)
+    steps: list[tuple[list[float], list[float]]] = []
+    for i, (second, third) in enumerate(rows[:, 1:].tolist()):
+        lo, hi = 0, len(steps)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            at = bisect_right(steps[mid][0], second)
+            if at and steps[mid][1][at - 1] <= third:
+                lo = mid + 1
+            else:
+                hi = mid
+        if lo == len(steps):
+            steps.append(([], []))
+        seconds, thirds = steps[lo]
+        at = upto = bisect_left(seconds, second)
+        while upto < len(thirds) and thirds[upto] >= third:
+            upto += 1
+        seconds[at:upto], thirds[at:upto] = [second], [third]
+        out[i] = lo
+    return out
+
+
 def _layers_by_insertion(rows: np.ndarray) -> np.ndarray:
     """Rows in lexicographic order, each put into the first layer that has no row dominating it, by bisection over layers."""
     out = np.empty(len(rows), np.int64)
@@ -160,9 +188,10 @@ def layers(df: DataFrame, objectives: Sequence[str], key: str, upto: int | None
         bad |= F.col(n).isNull() | F.isnan(n)
     odd = rows.where(bad).select("__key", F.lit(None).cast("int").alias("layer"))
     rows = stored(rows.where(~bad), "pareto-rows")
+    merged = MERGED if len(names) <= 3 else max(1, MERGED // 10)
     out, done, found, left = [], 0, 0, rows.count()
     while left and (upto is None or done < upto) and (enough is None or found < enough):
-        if left <= MERGED:
+        if left <= merged:
             first = _layered(rows, names, None, None if upto is None else upto - done).where("__own >= 0")
             taken = stored(first.select("__key", (F.col("__own") + done).alias("layer")), "pareto-layers")
             rest, step = None, None
@@ -170,13 +199,13 @@ def layers(df: DataFrame, objectives: Sequence[str], key: str, upto: int | None
             own = stored(_layered(_sectors(rows, names, left), names, "__part", None), "pareto-own")
             counts = [r["count"] for r in own.groupBy("__own").count().orderBy("__own").collect()]  # a row a layer
             step, size = 1, counts[0]
-            while step < len(counts) and size + counts[step] <= MERGED:
+            while step < len(counts) and size + counts[step] <= merged:
                 size, step = size + counts[step], step + 1
             if upto is not None:
                 step = min(step, upto - done)
             some = own.where(F.col("__own") < step).select("__key", *names)
-            if size > MERGED:  # the first layers of the sectors alone are too many for one task
-                first = _thinned(some, names, MERGED).select("__key", F.lit(0).alias("__own"))
+            if size > merged:  # the first layers of the sectors alone are too many for one task
+                first = _thinned(some, names, merged).select("__key", F.lit(0).alias("__own"))
             else:
                 first = _layered(some, names, None, step).where("__own >= 0")
             taken = stored(first.select("__key", (F.col("__own") + done).alias("layer")), "pareto-layers")
