@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from quillon.estimator import FeatureForest
 from quillon.functions.primitives import get_primitive, sanitise
-from quillon.operators import complexity, encoding, ensemble, importance, knn, learners, linear, metrics, pareto, retrieval, sampling, scaling, selection, timeseries
+from quillon.operators import complexity, encoding, ensemble, importance, information, knn, learners, linear, linear_tree, metrics, pair_distances, pareto, retrieval, sampling, scaling, selection, timeseries
 from quillon.plans import compiler
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,6 +377,56 @@ def forward_selection(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(found)), "place int, feature string")
 
 
+@query("linear_leaf_tree")
+def linear_leaf_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree of ridges over lineitem: price by quantity, discount and tax."""
+    df = _t(spark, sf, "lineitem")
+    tree = linear_tree.grow(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return df.groupBy(tree.leaf().alias("leaf")).agg(F.count(F.lit(1)).alias("n"), _r(F.avg(tree.column()), 2).alias("mean_pred"), _r(F.avg("l_extendedprice"), 2).alias("mean_y"))
+
+
+@query("ridge_then_trees")
+def ridge_then_trees(spark: SparkSession, sf: str) -> DataFrame:
+    df = _t(spark, sf, "part").selectExpr("p_partkey", "CAST(p_size AS DOUBLE) AS a", "CAST(p_partkey % 37 AS DOUBLE) AS b", "p_retailprice AS y")
+    return df.select("p_partkey", _r(linear_tree.ridge_and_trees(df, ["a", "b"], "y", trees=2).column(), 4).alias("pred"))
+
+
+_PAIRS = "SELECT sqrt(pow(a.a - b.a, 2){}) AS z, abs(a.y - b.y) AS w FROM c a JOIN c b ON a.k < b.k"
+_DISTANCES = f"WITH c AS (SELECT c_custkey AS k, c_acctbal / 100 AS a, CAST(c_custkey % 31 AS DOUBLE) AS b, c_acctbal * c_acctbal / 1e4 + c_nationkey AS y FROM customer) SELECT {_q('covar_samp(z, w) / (stddev_pop(z) * stddev_pop(w))')} AS iodc FROM ({_PAIRS})"
+
+
+def _distance_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "customer").selectExpr("c_acctbal / 100 AS a", "CAST(c_custkey % 31 AS DOUBLE) AS b", "c_acctbal * c_acctbal / 1e4 + c_nationkey AS y")
+
+
+@query("distance_correlation", _DISTANCES.format(""))
+def distance_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    found = pair_distances.input_output_distance_correlation(_distance_rows(spark, sf), ["a"], "y")
+    return spark.createDataFrame([(found,)], "iodc double").select(_r(F.col("iodc")).alias("iodc"))
+
+
+@query("distance_correlation_several", _DISTANCES.format(" + pow(a.b - b.b, 2)"))
+def distance_correlation_several(spark: SparkSession, sf: str) -> DataFrame:
+    found = pair_distances.input_output_distance_correlation(_distance_rows(spark, sf), ["a", "b"], "y")
+    return spark.createDataFrame([(found,)], "iodc double").select(_r(F.col("iodc")).alias("iodc"))
+
+
+@query("maximal_information")
+def maximal_information(spark: SparkSession, sf: str) -> DataFrame:
+    df = _t(spark, sf, "lineitem")
+    found = [(c, float(information.maximal_information(df, c, "l_extendedprice"))) for c in ("l_quantity", "l_discount", "l_tax")]
+    return spark.createDataFrame(found, "feature string, mic double").select("feature", _r(F.col("mic")).alias("mic"))
+
+
+@query("residual_information")
+def residual_information(spark: SparkSession, sf: str) -> DataFrame:
+    features = ["l_quantity", "l_discount", "l_tax"]
+    df = _t(spark, sf, "lineitem")
+    model = linear.solve_ridge(linear.gram(df, features, "l_extendedprice"), features, 1.0)
+    rows = df.select(*features, "l_extendedprice", (F.col("l_extendedprice") - model.column()).alias("left"))
+    return spark.createDataFrame([(float(information.residual_information(rows, features, "left", "l_extendedprice")),)], "wcrv double").select(_r(F.col("wcrv")).alias("wcrv"))
+
+
 # --- nearest neighbours ---------------------------------------------------------------------------------------------
 
 _D2 = "list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))"
