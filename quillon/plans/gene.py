@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from typing import Union
 
@@ -37,8 +37,11 @@ class Call:
 _TOKEN = re.compile(r"\s*([A-Za-z_][\w\-^+]*|`[^`]+`|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[(),])")
 
 
-def parse(text: str) -> Node:
-    """A gene from prefix text such as Add(Mul(l_quantity, l_discount), 0.5); names with odd characters go in backticks."""
+def parse(text: str, more: Mapping[str, int] | None = None) -> Node:
+    """A gene from prefix text such as Add(Mul(l_quantity, l_discount), 0.5); names with odd characters go in backticks.
+
+    more: primitives known besides the registered ones, with their numbers of arguments.
+    """
     tokens, at = [], 0
     while at < len(text.rstrip()):
         m = _TOKEN.match(text, at)
@@ -46,23 +49,23 @@ def parse(text: str) -> Node:
             raise ValueError(f"cannot read {text[at:]!r}")
         tokens.append(m[1])
         at = m.end()
-    node, rest = _read(tokens, 0)
+    node, rest = _read(tokens, 0, more or {})
     if rest != len(tokens):
         raise ValueError(f"text left over: {' '.join(tokens[rest:])!r}")
     return node
 
 
-def _read(tokens: list[str], at: int) -> tuple[Node, int]:
+def _read(tokens: list[str], at: int, more: Mapping[str, int]) -> tuple[Node, int]:
     if at >= len(tokens):
         raise ValueError("text ends inside a gene")
     head = tokens[at]
     if at + 1 < len(tokens) and tokens[at + 1] == "(":
-        arity = GROUP_PRIMITIVES.get(head) or (REGISTRY[head].arity if head in REGISTRY else None)
+        arity = more.get(head) or GROUP_PRIMITIVES.get(head) or (REGISTRY[head].arity if head in REGISTRY else None)
         if arity is None:
             raise ValueError(f"unknown primitive {head!r}")
         args, at = [], at + 2
         while True:
-            arg, at = _read(tokens, at)
+            arg, at = _read(tokens, at, more)
             args.append(arg)
             if at >= len(tokens) or tokens[at] not in ",)":
                 raise ValueError(f"missing bracket after an argument of {head}")

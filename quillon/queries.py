@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from quillon.estimator import FeatureForest
 from quillon.functions.primitives import get_primitive, sanitise
 from quillon.operators import complexity, encoding, ensemble, importance, information, knn, learners, linear, linear_tree, metrics, pair_distances, pareto, retrieval, sampling, scaling, selection, timeseries
-from quillon.plans import compiler
+from quillon.plans import compiler, typed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -427,6 +427,31 @@ def residual_information(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(float(information.residual_information(rows, features, "left", "l_extendedprice")),)], "wcrv double").select(_r(F.col("wcrv")).alias("wcrv"))
 
 
+# --- typed genes ---
+
+_TYPED = ["standardize(groupby_mean(c_mktsegment, standardize(c_acctbal)))", "min_max_scaler(Mul(c_acctbal, c_nationkey))", "groupby_count(binary_feature_cross(c_mktsegment, nation), c_acctbal)", "onehot_encoding(c_mktsegment)"]
+
+
+@query(
+    "typed_genes",
+    f"""WITH t AS (SELECT *, c_mktsegment || '_' || c_nationkey AS k FROM customer WHERE c_custkey % 4 <> 0),
+    s AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS d, min(c_acctbal * c_nationkey) AS lo, max(c_acctbal * c_nationkey) AS hi FROM t),
+    g AS (SELECT c_mktsegment, avg((c_acctbal - m) / d) AS gm FROM t, s GROUP BY c_mktsegment),
+    h AS (SELECT avg(gm) AS hm, stddev_pop(gm) AS hd FROM t JOIN g USING (c_mktsegment)),
+    n AS (SELECT k, CAST(count(*) AS DOUBLE) AS n FROM t GROUP BY k)
+    SELECT c_custkey, {_q('(gm - hm) / hd')} AS g0, {_q('(c_acctbal * c_nationkey - lo) / (hi - lo)')} AS g1, coalesce(n.n, 0.0) AS g2,
+           {", ".join(f"CASE WHEN c_mktsegment = (SELECT DISTINCT c_mktsegment FROM t ORDER BY 1 LIMIT 1 OFFSET {i}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS g3_{i}" for i in range(5))}
+    FROM customer c JOIN g USING (c_mktsegment) LEFT JOIN n ON n.k = c_mktsegment || '_' || c_nationkey, s, h""",
+)
+def typed_genes(spark: SparkSession, sf: str) -> DataFrame:
+    """Genes fitted on three quarters of customer and applied to all of it."""
+    df = _t(spark, sf, "customer")
+    df = df.withColumn("nation", F.col("c_nationkey").cast("string"))
+    plan = typed.fit(df.where("c_custkey % 4 <> 0"), _TYPED, ["c_mktsegment", "nation"])
+    out = plan.transform(df, ["c_custkey"])
+    return out.select("c_custkey", _r(F.col("g0")).alias("g0"), _r(F.col("g1")).alias("g1"), "g2", *(f"g3_{i}" for i in range(5)))
+
+
 # --- nearest neighbours ---------------------------------------------------------------------------------------------
 
 _D2 = "list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))"
