@@ -9,13 +9,15 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.primitives import preset, register_primitive
 from quillon.operators import linear, scaling
 from quillon.operators.ensemble import combine
 from quillon.operators.genetic import crossover, half_and_half, mutate
+from quillon.plans import typed
 from quillon.plans.compiler import MAX_GENES, GroupFit, features, fit_groups, has_groups
-from quillon.plans.gene import Node, columns, formula, key, parse, simplify
+from quillon.plans.gene import Call, Col, Node, columns, formula, key, parse, simplify
 from quillon.sources.tables import check_features, load_model, read, save_model, write
 
 
@@ -31,7 +33,7 @@ class Individual:
 
 @dataclass
 class FeatureForest:
-    """fit(df, features, y), predict(df), transform(df), formula().
+    """fit(df, features, y), predict(df), transform(df), formula(). Features are numbers, booleans or texts.
 
     A generation's genes, repeats left out, are evaluated in projections of at most MAX_GENES columns, and one
     aggregate per projection batch gives all the Gram matrices by fold that the individuals' ridges need. Selection is
@@ -50,8 +52,14 @@ class FeatureForest:
     how: str = "mean"
     seed: int = 0
     groups: dict[str, GroupFit] = field(default_factory=dict, init=False)
+    #: Of every text column among the inputs the gene of its training mean; the genes read it as <column>__mean.
+    encoding: typed.TypedPlan | None = field(default=None, init=False)
 
     def fit(self, df: DataFrame, columns_in: Sequence[str], y: str, row_id: str) -> FeatureForest:
+        texts = [c for c in columns_in if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
+        if texts:
+            self.encoding = typed.fit(df, [Call("groupby_mean", (Col(c), Col(y))) for c in texts], texts)
+            df, columns_in = self._encoded(df), [f"{c}__mean" if c in texts else c for c in columns_in]
         check_features(df, [*columns_in, y])
         for name, (arity, build) in self.custom_primitives.items():
             register_primitive(name, arity, build)
@@ -73,6 +81,12 @@ class FeatureForest:
             people = [self._vary(rnd, parents[i], parents[(i + 1) % len(parents)], usable, names) for i in range(len(parents))]
         return self
 
+    def _encoded(self, df: DataFrame) -> DataFrame:
+        """df with <column>__mean for the text inputs; unknown and null texts have the mean of all training rows."""
+        if self.encoding is None:
+            return df
+        return df.withColumns({f"{c}__mean": self.encoding.columns(i)[0] for i, c in enumerate(self.encoding.categories)})
+
     def _evaluate(self, df: DataFrame, people: list[Individual]) -> np.ndarray:
         """Sets every individual's model and error; gives errors by individual and fold."""
         out = np.zeros((len(people), self.folds))
@@ -119,7 +133,7 @@ class FeatureForest:
     def _table(self, df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
         unique = {key(g): g for p in self.hall for g in p.genes}
         place = {k: f"__g{i}" for i, k in enumerate(unique)}
-        return features(df, list(unique.values()), list(place.values()), keep=df.columns, groups=self._fitted()), place
+        return features(self._encoded(df), list(unique.values()), list(place.values()), keep=df.columns, groups=self._fitted()), place
 
     def _fitted(self) -> dict[str, GroupFit]:
         """The group statistics of the training rows; a forest restored without its tables has none."""
@@ -151,7 +165,7 @@ class FeatureForest:
         found = self.importance()
         edge = float(np.quantile(list(found.values()), 1 - ratio))
         chosen = [g for g, v in found.items() if v >= edge]
-        return features(df, chosen, [f"f{i}" for i in range(len(chosen))], keep=df.columns if keep_inputs else [self.row_id], groups=self._fitted())
+        return features(self._encoded(df), chosen, [f"f{i}" for i in range(len(chosen))], keep=df.columns if keep_inputs else [self.row_id], groups=self._fitted())
 
     def formula(self) -> str:
         """The best individual as an infix formula."""
@@ -161,7 +175,7 @@ class FeatureForest:
 
     def describe(self) -> dict:
         """The fitted ensemble as plain values, for save_model()."""
-        return {"inputs": self.inputs, "target": self.target, "row_id": self.row_id, "how": self.how, "members": [{"genes": [key(g) for g in p.genes], "error": p.error, "intercept": p.model.intercept, "coefficients": list(p.model.coefficients)} for p in self.hall]}
+        return {"encoding": self.encoding and self.encoding.to_dict(), "inputs": self.inputs, "target": self.target, "row_id": self.row_id, "how": self.how, "members": [{"genes": [key(g) for g in p.genes], "error": p.error, "intercept": p.model.intercept, "coefficients": list(p.model.coefficients)} for p in self.hall]}
 
     def save(self, spark: SparkSession, path: str) -> None:
         """The fitted ensemble under a folder: its description as JSON, each group-by call's table as Parquet."""
@@ -184,6 +198,7 @@ class FeatureForest:
         """A forest from describe(); where its genes hold group-by calls, use save() and load()."""
         out = cls(how=found["how"])
         out.inputs, out.target, out.row_id = found["inputs"], found["target"], found["row_id"]
+        out.encoding = typed.TypedPlan.from_dict(found["encoding"]) if found.get("encoding") else None
         out.hall = [Individual([parse(g) for g in m["genes"]], m["error"], linear.LinearModel(tuple(m["genes"]), m["intercept"], tuple(m["coefficients"]))) for m in found["members"]]
         return out
 

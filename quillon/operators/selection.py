@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.operators import pareto
 from quillon.operators.ordered import with_neighbours
 
 #: A loss table with at most so many values is collected for lexicase; larger ones are filtered in Spark.
@@ -119,6 +120,11 @@ def pareto_front(population: DataFrame, objectives: Sequence[str]) -> DataFrame:
     return population.alias("a").join(population.alias("b"), _dominates("b", "a", objectives), "left_anti")
 
 
+def pareto_layers(population: DataFrame, objectives: Sequence[str]) -> DataFrame:
+    """population with front: 0 for the rows that none dominates, 1 for those that only they dominate, and so on."""
+    return population.join(pareto.layers(population, objectives, "ind_id").withColumnRenamed("layer", "front"), "ind_id")
+
+
 def crowding(population: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """population with crowding: sum over objectives of the neighbours' distance over the range; infinite at the ends."""
     ranges = population.agg(*(F.max(o).alias(f"hi_{o}") for o in objectives), *(F.min(o).alias(f"lo_{o}") for o in objectives)).first()

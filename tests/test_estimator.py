@@ -113,3 +113,16 @@ def test_scalers_on_constants(spark):
 def test_split_covers_all(spark):
     parts = spark.range(1000).select(sampling.split("id", {"a": 70, "b": 30}).alias("p")).groupBy("p").count().collect()
     assert sum(r["count"] for r in parts) == 1000 and {r.p for r in parts} == {"a", "b"}
+
+
+def test_text_columns(spark, tmp_path):
+    """A text input is learnt as its target mean; unseen and null texts get the mean of all rows."""
+    df = spark.range(400).selectExpr("id", "CASE id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' END AS kind", "CAST(id % 7 AS DOUBLE) AS x").selectExpr("*", "CASE kind WHEN 'a' THEN 10.0D WHEN 'b' THEN -5.0D ELSE 0.0D END + x AS y")
+    forest = FeatureForest(population=6, generations=1, genes=2, depth=2, ensemble=2).fit(df, ["kind", "x"], "y", "id")
+    odd = df.limit(5).unionByName(spark.createDataFrame([(900, "new", 1.0, None), (901, None, 2.0, None)], df.schema))
+    assert forest.predict(odd).columns == ["id", "kind", "x", "y", "prediction"]
+    first = {r.id: r.prediction for r in forest.predict(odd).collect()}
+    assert all(v is not None for v in first.values()) and first[0] > first[1]
+    forest.save(spark, str(tmp_path / "m"))
+    again = {r.id: r.prediction for r in FeatureForest.load(spark, str(tmp_path / "m")).predict(odd).collect()}
+    assert again == first and any("kind__mean" in c for c in forest.columns_used())
