@@ -1,15 +1,15 @@
 """A change feed of leaderboards over a stream of amounts: who entered, left or moved on a board after each day.
 
 Batches of lines are files that are fed in turn to one Structured Streaming query with state, started anew for each
-batch on one checkpoint. Its first stateful step keeps, per board and shard of its items, the running revenues (a map
-state, packed into a few buckets) and the shard's last board; it replays the batch's days in order on a list of
-(negative revenue, item) kept sorted by bisection and emits what changed among the shard's first. Items lie in one
-shard each, so a board's first are among its shards' first. The second step keeps, per board, the shards' first and
-the board itself, replays the days and gives the differences of ranks.
+batch on one checkpoint. Its state keeps, per board and shard of its items, the running revenues (a map state, packed
+into a few buckets) and the shard's last board; a batch's days are replayed in order on a list of (negative revenue,
+item) kept sorted by bisection, and what changed among the shard's first is emitted. Items lie in one shard each, so a
+board's first are among its shards' first: a last step replays what the shards of a board emitted and gives the
+differences of ranks.
 
 A board with a third of all rows is spread over its shards, and rows of one item and day are summed within each task
-before the shuffle, so that a hot item or vendor is a few rows a task. The second step sees at most `top` items of each
-shard and day, however many rows came in. Sums of whole numbers are exact in doubles below 2^53, so their order and
+before the shuffle, so that a hot item or vendor is a few rows a task. The last step sees at most `top` items of each
+shard and day, entering or leaving, however many rows came in. Sums of whole numbers are exact in doubles below 2^53, so their order and
 reruns change nothing.
 """
 
@@ -31,7 +31,6 @@ LINES = "board int, item long, day long, arrival long, amount double"
 CHANGES = "board int, arrival long, item long, batch int, change string, old_rank int, new_rank int, amount double"
 
 _SHARD_ROWS = "board int, arrival long, item long, amount double, listed boolean"
-_BOARD_ROWS = "board int, arrival long, item long, change string, old_rank int, new_rank int, amount double"
 #: Map entries that the revenues of a shard are packed into.
 BUCKETS = 8
 #: Arrow batches of which a task sums equal keys together before they are shuffled.
@@ -128,48 +127,31 @@ class ShardState(StatefulProcessor):
         pass
 
 
-class BoardState(StatefulProcessor):
-    """The first of all shards of a board and the board itself; emits the items whose rank changed on a day."""
+def _board_changes(top: int):
+    """The changes of one board from what its shards emitted on all days, in order of days."""
 
-    def __init__(self, top: int) -> None:
-        self.top = top
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.listed = handle.getValueState("listed", "items binary, amounts binary")
-        self.board = handle.getValueState("board", "items binary")
-
-    def handleInputRows(self, key, rows, timerValues):
+    def changes(frame):
         import pandas as pd
 
-        known: dict[int, float] = {}
-        if self.listed.exists():
-            items, amounts = self.listed.get()
-            known = dict(zip(np.frombuffer(items, np.int64).tolist(), np.frombuffer(amounts, np.float64).tolist(), strict=True))
-        ranks = {item: r for r, item in enumerate(np.frombuffer(self.board.get()[0], np.int64).tolist(), 1)} if self.board.exists() else {}
-        board, out = Board(known), []
-        for day, lines in _days(rows, "item", "amount", "listed"):
+        board, ranks, out = Board({}), {}, []
+        for day, lines in _days(iter([frame]), "item", "amount", "listed", "batch"):
             left = {}
-            for item, amount, listed in lines:
+            for item, amount, listed, _ in lines:
                 if listed:
                     board.put(item, amount)
                 else:
                     board.drop(item)
                     left[item] = amount
-            now = {item: r for r, (_, item) in enumerate(board.top(self.top), 1)}
+            now = {item: r for r, (_, item) in enumerate(board.top(top), 1)}
             for item in sorted(ranks.keys() | now.keys()):
                 old, new = ranks.get(item), now.get(item)
                 if old != new:
                     change = "enter" if old is None else "exit" if new is None else "move"
-                    out.append((key[0], day, item, change, old, new, left[item] if item in left else board.amounts[item]))
+                    out.append((frame["board"].iloc[0], day, item, lines[0][3], change, old, new, left[item] if item in left else board.amounts[item]))
             ranks = now
-        self.listed.update((_pack(board.amounts, np.int64), _pack(board.amounts.values(), np.float64)))
-        self.board.update((_pack(sorted(ranks, key=ranks.__getitem__), np.int64),))
-        if out:
-            frame = pd.DataFrame(out, columns=["board", "arrival", "item", "change", "old_rank", "new_rank", "amount"])
-            yield frame.astype({"old_rank": "Int32", "new_rank": "Int32"})
+        return pd.DataFrame(out, columns=["board", "arrival", "item", "batch", "change", "old_rank", "new_rank", "amount"]).astype({"old_rank": "Int32", "new_rank": "Int32"})
 
-    def close(self) -> None:
-        pass
+    return changes
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +206,8 @@ def change_feed(lines: DataFrame, batch: str = "batch", top: int = 10, lateness:
                 spark.conf.set(k, v)
     if not latest:
         return spark.createDataFrame([], CHANGES)
-    return spark.read.schema(CHANGES).parquet(f"{root}/changes")
+    listed = spark.read.schema(f"{_SHARD_ROWS}, batch int").parquet(f"{root}/changes")
+    return listed.groupBy("board").applyInPandas(_board_changes(top), CHANGES)
 
 
 def _feed(spark: SparkSession, root: str, schema: str, number: int, high: int | None, top: int, lateness: int, shards: int) -> None:
@@ -235,8 +218,7 @@ def _feed(spark: SparkSession, root: str, schema: str, number: int, high: int |
         used &= F.col("day") + lateness >= high
     sums = stream.where(used).select("board", "item", "arrival", "amount").mapInArrow(_summed, "board int, item long, arrival long, amount double")
     parts = sums.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int")).groupBy("board", "shard").transformWithStateInPandas(ShardState(top), _SHARD_ROWS, "Append", "None")
-    boards = parts.groupBy("board").transformWithStateInPandas(BoardState(top), _BOARD_ROWS, "Append", "None")
-    out = boards.select("board", "arrival", "item", F.lit(number).cast("int").alias("batch"), "change", "old_rank", "new_rank", "amount")
+    out = parts.withColumn("batch", F.lit(number).cast("int"))
     query = out.writeStream.format("parquet").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
 
