@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from quillon.estimator import FeatureForest
 from quillon.functions.primitives import get_primitive, sanitise
-from quillon.operators import complexity, encoding, ensemble, importance, information, knn, learners, linear, linear_tree, metrics, pair_distances, pareto, retrieval, sampling, scaling, selection, timeseries
+from quillon.operators import complexity, encoding, ensemble, importance, information, knn, learners, linear, linear_tree, metrics, pair_distances, pareto, retrieval, sampling, scaling, selection, subsets, timeseries
 from quillon.plans import compiler, typed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,6 +427,24 @@ def residual_information(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(float(information.residual_information(rows, features, "left", "l_extendedprice")),)], "wcrv double").select(_r(F.col("wcrv")).alias("wcrv"))
 
 
+def _members(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    df = _t(spark, sf, "lineitem").selectExpr("l_extendedprice AS y", "2000.0D * l_quantity AS a", "1000.0D * l_quantity + 27000 AS b", "53000.0D AS c", "60000.0D - 100000 * l_discount AS d", "1000.0D * l_partkey AS e")
+    return df, list("abcde")
+
+
+@query("shapley_members")
+def shapley_members(spark: SparkSession, sf: str) -> DataFrame:
+    df, members = _members(spark, sf)
+    found = subsets.shapley_values(df, members, "y")
+    return spark.createDataFrame([(m, v) for m, (v, _) in found.items()], "member string, shapley double").select("member", _r(F.col("shapley"), 2).alias("shapley"))
+
+
+@query("determinantal_members")
+def determinantal_members(spark: SparkSession, sf: str) -> DataFrame:
+    df, members = _members(spark, sf)
+    return spark.createDataFrame(list(enumerate(subsets.determinantal_members(df, members, "y", 3), 1)), "place int, member string")
+
+
 # --- typed genes ---
 
 _TYPED = ["standardize(groupby_mean(c_mktsegment, standardize(c_acctbal)))", "min_max_scaler(Mul(c_acctbal, c_nationkey))", "groupby_count(binary_feature_cross(c_mktsegment, nation), c_acctbal)", "onehot_encoding(c_mktsegment)"]
