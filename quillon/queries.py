@@ -428,7 +428,7 @@ def residual_information(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    df = _t(spark, sf, "lineitem").selectExpr("l_extendedprice AS y", "2000.0D * l_quantity AS a", "1000.0D * l_quantity + 27000 AS b", "53000.0D AS c", "60000.0D - 100000 * l_discount AS d", "1000.0D * l_partkey AS e")
+    df = _t(spark, sf, "lineitem").selectExpr("l_extendedprice AS y", "2000.0D * l_quantity AS a", "1000.0D * l_quantity + 27000 AS b", "53000.0D AS c", "60000.0D - 100000 * l_discount AS d", "38000.0D + 500 * l_linenumber AS e")
     return df, list("abcde")
 
 
