@@ -9,6 +9,8 @@ import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,33 @@ def _sweep() -> None:
             _delete(spark, path)
 
 
+def carries_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """operator(df, ...) for df with any column names: its own columns begin with two underscores, so a caller's that
+    do so have other names meanwhile, in arguments too, and their own again in the result. Other tables are not touched."""
+
+    @wraps(operator)
+    def call(df: DataFrame, *args, **options) -> DataFrame:
+        held = {c for c in df.columns if c.startswith("__")}
+        if not held:
+            return operator(df, *args, **options)
+        taken, other = {c.lower() for c in df.columns}, {}
+        for c in sorted(held):
+            n = len(other)
+            while f"carried_{n}" in taken:
+                n += 1
+            other[c] = f"carried_{n}"
+            taken.add(other[c])
+        own = {v: k for k, v in other.items()}
+
+        def renamed(v):
+            return [other.get(c, c) for c in v] if isinstance(v, list) else other.get(v, v) if isinstance(v, str) else v
+
+        out = operator(df.toDF(*(other.get(c, c) for c in df.columns)), *(renamed(v) for v in args), **{k: renamed(v) for k, v in options.items()})
+        return out.toDF(*(own.get(c, c) for c in out.columns))
+
+    return call
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")

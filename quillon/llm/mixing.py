@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import SPACE_CLASS, WORD_CLASS, let, materialise, words
+from ._shared import SPACE_CLASS, WORD_CLASS, carries_columns, let, materialise, words
 
 #: No document is taken more often than this, so no target exceeds this times its source's size.
 MOST_REPEATS = 3
@@ -165,6 +165,7 @@ def _runs(mixed: Mix) -> DataFrame:
     return runs.agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word")).select(*row, "from_word", "to_word")
 
 
+@carries_columns
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str | None = None, **options) -> DataFrame:
     """The words that the mix draws, as rows of docs: one row per run of a document's words, whose text is that run.
 

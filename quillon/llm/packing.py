@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import materialise, trim_worker
+from ._shared import carries_columns, materialise, trim_worker
 from .tokens import encoder, slices, with_end
 
 #: The looked-up runs are broadcast; beyond so many they are joined by shuffling instead.
@@ -123,6 +123,7 @@ def schedule(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
+@carries_columns
 def pack(pieces: DataFrame, capacity: int, order: list[str], length: str = "length") -> DataFrame:
     """pieces with sequence_id and offset appended (columns of these names are replaced): every piece in one sequence
     of at most `capacity`, offsets without gaps from 0.
@@ -131,7 +132,7 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], length: str = "leng
     sequence and get null in both columns. `order` names columns that break ties between equal lengths; rows equal in
     them all are placed in any order. An empty table gives an empty result.
     """
-    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset", "__part")]
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     fits = F.col(f"`{length}`").between(1, capacity)
     kept = materialise(pieces.select(*(F.col(f"`{c}`") for c in columns)), "pack-pieces")  # read three times below
     by = [F.col(f"`{length}`").desc(), *(F.col(f"`{c}`") for c in order)]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import discard, materialise, trim_worker
+from ._shared import carries_columns, discard, materialise, trim_worker
 
 ANCHOR = 32
 #: Texts are hashed in segments of so many bytes, which overlap by length - 1.
@@ -359,6 +359,7 @@ def find_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Data
     return out
 
 
+@carries_columns
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
     """docs with n_bytes, spans (array of f, e: the maximal removed ranges of bytes) and kept (the remaining bytes).
 
