@@ -18,7 +18,11 @@ BLOCK = 2048
 
 
 def knn(queries: DataFrame, data: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", skip_self: bool = True) -> DataFrame:
-    """query_id, id, d2 (squared distance), rk (from 1) of each query's k nearest rows; ties to the smaller id."""
+    """query_id, id, d2 (squared distance), rk (from 1) of each query's k nearest rows; ties to the smaller id.
+
+    Rows whose vector is null or holds a null take no part."""
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull())
+    queries, data = queries.where(whole), data.where(whole)
     n_data, n_queries = data.count(), queries.count()
     db, qb = max(1, -(-n_data // BLOCK)), max(1, -(-n_queries // BLOCK))
     left = queries.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
