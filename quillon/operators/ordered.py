@@ -64,3 +64,14 @@ def ranks(counts: DataFrame, value: str, n: str) -> DataFrame:
     base = base.select("__b", (F.sum("__s").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__s")).alias("__base"))  # one row a range
     inside = F.sum(n).over(W.partitionBy("__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
     return cut.withColumn("upto", inside).join(F.broadcast(base), "__b").withColumn("upto", F.col("upto") + F.col("__base")).drop("__b", "__base")
+
+
+def median(df: DataFrame, value: str) -> float | None:
+    """The exact median of a column, the mean of the middle two where rows are even; nulls do not count, none gives null."""
+    counts = df.where(F.col(f"`{value}`").isNotNull()).groupBy(F.col(f"`{value}`").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = ranks(counts, "v", "n")
+    n = placed.agg(F.max("upto")).first()[0]
+    if n is None:
+        return None
+    low, high = placed.agg(F.min(F.when(F.col("upto") >= (n + 1) // 2, F.col("v"))), F.min(F.when(F.col("upto") >= n // 2 + 1, F.col("v")))).first()
+    return (low + high) / 2

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from quillon.estimator import FeatureForest
 from quillon.functions.primitives import get_primitive, sanitise
-from quillon.operators import complexity, encoding, ensemble, importance, information, knn, learners, linear, linear_tree, metrics, pair_distances, pareto, retrieval, sampling, scaling, selection, subsets, timeseries
+from quillon.operators import complexity, coresets, encoding, ensemble, importance, information, knn, learners, linear, linear_tree, local_models, metrics, pair_distances, pair_metric, pareto, retrieval, sampling, scaling, selection, subsets, timeseries
 from quillon.plans import compiler, typed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1059,3 +1059,99 @@ def knn_auto_k_predict(spark: SparkSession, sf: str) -> DataFrame:
 def bounded_regression(spark: SparkSession, sf: str) -> DataFrame:
     df = _xy(spark, sf)
     return df.select("c_custkey", _r(linear.bounded(linear.linear_scaling(df, "x", "y").column(), df, "y"), 4).alias("p"))
+
+
+# --- learnt metrics, local models, coresets ------------------------------------------------------------------------
+
+_PART_Z = "p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS a0, CAST(p_retailprice AS DOUBLE) AS b0, CAST(p_partkey % 13 AS DOUBLE) + p_size / 7.0 AS y FROM part), z AS (SELECT id, (a0 - avg(a0) OVER ()) / stddev_pop(a0) OVER () AS a, (b0 - avg(b0) OVER ()) / stddev_pop(b0) OVER () AS b, y FROM p)"
+_PART_FEATURES = ["p_size", "p_retailprice"]
+
+
+def _part_target(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "part").withColumn("y", (F.col("p_partkey") % 13).cast("double") + F.col("p_size") / F.lit(7.0))
+
+
+_PAIR = "SELECT s.a - t.a AS a, s.b - t.b AS b, abs(s.y - t.y) AS d FROM z s JOIN z t ON s.id <> t.id"
+
+
+@query("metric_pair_moments", f"WITH {_PART_Z}, d AS ({_PAIR}), m AS (SELECT avg(a * a * d) AS ta, avg(a * b * d) AS tb, avg(b * b * d) AS tc, avg(a * a * a * a) AS faa, avg(a * a * a * b) AS fab, avg(a * a * b * b) AS fac, avg(a * b * b * b) AS fbc, avg(b * b * b * b) AS fcc FROM d) SELECT pair, {_q('t')} AS target, {_q('f0')} AS with_aa, {_q('f1')} AS with_ab, {_q('f2')} AS with_bb FROM (SELECT 'aa' AS pair, ta AS t, faa AS f0, fab AS f1, fac AS f2 FROM m UNION ALL SELECT 'ab', tb, fab, fac, fbc FROM m UNION ALL SELECT 'bb', tc, fac, fbc, fcc FROM m)")
+def metric_pair_moments(spark: SparkSession, sf: str) -> DataFrame:
+    m = pair_metric.pair_moments(_part_target(spark, sf), _PART_FEATURES, "y")
+    rows = [(pair, float(t), *map(float, f)) for pair, t, f in zip(("aa", "ab", "bb"), m.target, m.fourth, strict=True)]
+    names = ("target", "with_aa", "with_ab", "with_bb")
+    out = spark.createDataFrame(rows, f"pair string, {', '.join(f'{n} double' for n in names)}")
+    return out.select("pair", *(_r(F.col(n)).alias(n) for n in names))
+
+
+@query("similarity_moments", f"WITH {_PART_Z}, g AS (SELECT 1.0 / var_pop(y) AS g FROM z), w AS (SELECT s.a AS a, s.b AS b, t.a AS a2, t.b AS b2, exp(-g * (s.y - t.y) * (s.y - t.y)) AS s FROM z s, z t, g) SELECT pair, {_q('n', 3)} AS near, {_q('w', 3)} AS whole FROM (SELECT 'aa' AS pair, sum(s * a * a2) AS n, sum(s * a * a) AS w FROM w UNION ALL SELECT 'ab', sum(s * a * b2), sum(s * a * b) FROM w UNION ALL SELECT 'bb', sum(s * b * b2), sum(s * b * b) FROM w)")
+def similarity_moments(spark: SparkSession, sf: str) -> DataFrame:
+    near, whole, *_ = pair_metric.similarity_moments(_part_target(spark, sf), _PART_FEATURES, "y")
+    rows = [(pair, float(near[i]), float(whole[i])) for pair, i in (("aa", (0, 0)), ("ab", (0, 1)), ("bb", (1, 1)))]
+    return spark.createDataFrame(rows, "pair string, near double, whole double").select("pair", _r(F.col("near"), 3).alias("near"), _r(F.col("whole"), 3).alias("whole"))
+
+
+@query("pls_scores", f"WITH {_PART_Z}, c AS (SELECT covar_pop(a, y) AS ca, covar_pop(b, y) AS cb FROM z) SELECT id AS p_partkey, {_q('(a * ca + b * cb) / sqrt(ca * ca + cb * cb)')} AS score FROM z, c")
+def pls_scores(spark: SparkSession, sf: str) -> DataFrame:
+    df = _part_target(spark, sf)
+    first = pair_metric.partial_least_squares(df, _PART_FEATURES, "y", dimensions=1)
+    return df.select("p_partkey", _r(first.column()[0]).alias("score"))
+
+
+@query("metric_knn")
+def metric_knn(spark: SparkSession, sf: str) -> DataFrame:
+    df = _part_target(spark, sf)
+    metric = pair_metric.learnt_metric(df, _PART_FEATURES, "y")
+    return pair_metric.projected_predict(df.where("p_partkey % 20 = 0"), df, metric, "y", "p_partkey").select("query_id", _r(F.col("prediction")).alias("prediction"))
+
+
+@query("lpp_knn")
+def lpp_knn(spark: SparkSession, sf: str) -> DataFrame:
+    df = _part_target(spark, sf)
+    metric = pair_metric.locality_preserving(df, _PART_FEATURES, "y")
+    return pair_metric.projected_predict(df.where("p_partkey % 20 = 0"), df, metric, "y", "p_partkey").select("query_id", _r(F.col("prediction")).alias("prediction"))
+
+
+@query("ridge_boosted_knn")
+def ridge_boosted_knn(spark: SparkSession, sf: str) -> DataFrame:
+    df = _part_target(spark, sf)
+    return pair_metric.ridge_boosted_predict(df.where("p_partkey % 20 = 0"), df, _PART_FEATURES, "y", "p_partkey").select("query_id", _r(F.col("prediction")).alias("prediction"))
+
+
+_LOCAL_FITS = """WITH c AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer),
+    r AS (SELECT q.id, q.y, d.x - q.x AS dx, d.y - q.y AS dy, d.y AS ny, row_number() OVER (PARTITION BY q.id ORDER BY (d.x - q.x) * (d.x - q.x), d.id) AS rk FROM c q JOIN c d ON q.id <> d.id),
+    n AS (SELECT id, y, dx, dy, ny, median(ny) OVER (PARTITION BY id) AS m FROM r WHERE rk <= 5),
+    g AS (SELECT id, count(*) AS n, sum(dx) AS sx, sum(dx * dx) AS sxx, sum(dy) AS sy, sum(dx * dy) AS sxy, median(abs(ny - m)) AS spread FROM n GROUP BY id),
+    f AS (SELECT id, abs(((sxx + e) * sy - sx * sxy) / ((n + e) * (sxx + e) - sx * sx)) AS residual, spread FROM (SELECT *, 1e-10 * (n + sxx) / 2 AS e FROM g))"""
+
+
+@query("local_fits", f"{_LOCAL_FITS} SELECT id AS c_custkey, {_q('residual', 4)} AS residual, {_q('spread', 4)} AS spread FROM f")
+def local_fits(spark: SparkSession, sf: str) -> DataFrame:
+    out = local_models.local_fits(*_local(spark, sf), "c_custkey", ["c_acctbal"], "c_nationkey")
+    return out.select(F.col("query_id").alias("c_custkey"), _r(F.col("residual"), 4).alias("residual"), _r(F.col("spread"), 4).alias("spread"))
+
+
+def _local(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    df = _t(spark, sf, "customer")
+    rows = df.select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal").cast("double")).alias("v"))
+    return df, knn.knn(rows, rows, 5, "id", "v")
+
+
+@query("nonlinearity_weights", f"{_LOCAL_FITS}, o AS (SELECT median(abs(y - (SELECT avg(y) FROM c))) AS o FROM c), m AS (SELECT id, residual / ((CASE WHEN spread > 1e-10 THEN spread ELSE o END) + 1e-10) AS miss FROM f, o), d AS (SELECT id, miss - median(miss) OVER () AS away FROM m), s AS (SELECT median(abs(away)) AS s FROM d), w AS (SELECT id, pow(greatest(greatest(least(away, 2.5 * s), -2.5 * s) + 1.5 * s, 1e-10), 0.75) AS w FROM d, s) SELECT id AS c_custkey, {_q('1000.0 * w / sum(w) OVER ()', 4)} AS permille FROM w")
+def nonlinearity_weights(spark: SparkSession, sf: str) -> DataFrame:
+    out = local_models.nonlinearity_weights(*_local(spark, sf), "c_custkey", ["c_acctbal"], "c_nationkey")
+    return out.select(F.col("query_id").alias("c_custkey"), _r(F.lit(1000.0) * F.col("weight"), 4).alias("permille"))
+
+
+def _farthest_sql(k: int) -> str:
+    """The greedy choice, one step of it a table."""
+    gap = "list_distance(CAST(v AS DOUBLE[]), CAST(w AS DOUBLE[]))"
+    steps = ["e AS (SELECT vec_id AS id, embedding AS v FROM embeddings)", "c1 AS (SELECT id, v AS w, CAST(NULL AS DOUBLE) AS d FROM e ORDER BY id LIMIT 1)", f"l1 AS (SELECT e.id, v, CASE WHEN e.id = c1.id THEN -1 ELSE {gap} END AS far FROM e, c1)"]
+    for s in range(2, k + 1):
+        steps.append(f"c{s} AS (SELECT id, v AS w, far AS d FROM l{s - 1} ORDER BY far DESC, id LIMIT 1)")
+        steps.append(f"l{s} AS (SELECT l.id, v, CASE WHEN l.id = c{s}.id THEN -1 ELSE least(far, {gap}) END AS far FROM l{s - 1} l, c{s})")
+    return f"WITH {', '.join(steps)} {' UNION ALL '.join(f'SELECT id, CAST({s} AS INTEGER) AS rk, CASE WHEN d IS NOT NULL THEN round(d, 6) END AS distance FROM c{s}' for s in range(1, k + 1))}"
+
+
+@query("farthest_first", _farthest_sql(8))
+def farthest_first(spark: SparkSession, sf: str) -> DataFrame:
+    return coresets.farthest_first(_t(spark, sf, "embeddings"), 8).select("id", "rk", F.round("distance", 6).alias("distance"))
