@@ -15,6 +15,7 @@ from quillon.estimator import FeatureForest
 from quillon.functions.primitives import get_primitive, sanitise
 from quillon.operators import complexity, coresets, encoding, ensemble, importance, information, knn, learners, linear, linear_tree, local_models, metrics, pair_distances, pair_metric, pareto, retrieval, sampling, scaling, selection, subsets, timeseries
 from quillon.plans import compiler, typed
+from quillon.streaming import decayed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1155,3 +1156,9 @@ def _farthest_sql(k: int) -> str:
 @query("farthest_first", _farthest_sql(8))
 def farthest_first(spark: SparkSession, sf: str) -> DataFrame:
     return coresets.farthest_first(_t(spark, sf, "embeddings"), 8).select("id", "rk", F.round("distance", 6).alias("distance"))
+
+
+@query("decayed_moments", f"WITH r AS (SELECT user_id, value AS x, pow(0.9, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1) AS w FROM events WHERE value IS NOT NULL), m AS (SELECT user_id, sum(w * x) / sum(w) AS mean FROM r GROUP BY user_id) SELECT r.user_id, {_q('sum(w)')} AS n, {_q('any_value(mean)', 4)} AS mean, {_q('sum(w * (x - mean) * (x - mean)) / sum(w)', 3)} AS var, count(*) AS rows FROM r JOIN m ON r.user_id IS NOT DISTINCT FROM m.user_id GROUP BY r.user_id")
+def decayed_moments(spark: SparkSession, sf: str) -> DataFrame:
+    out = decayed.decayed_moments(_t(spark, sf, "events"), "user_id", "ts", "event_id", "value", 0.9)
+    return out.select("user_id", _r(F.col("n")).alias("n"), _r(F.col("mean"), 4).alias("mean"), _r(F.col("var"), 3).alias("var"), "rows")
