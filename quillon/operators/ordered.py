@@ -66,12 +66,33 @@ def ranks(counts: DataFrame, value: str, n: str) -> DataFrame:
     return cut.withColumn("upto", inside).join(F.broadcast(base), "__b").withColumn("upto", F.col("upto") + F.col("__base")).drop("__b", "__base")
 
 
-def median(df: DataFrame, value: str) -> float | None:
-    """The exact median of a column, the mean of the middle two where rows are even; nulls do not count, none gives null."""
-    counts = df.where(F.col(f"`{value}`").isNotNull()).groupBy(F.col(f"`{value}`").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+def quantiles(df: DataFrame, value: str, wanted: Sequence[float]) -> dict[float, float | None]:
+    """Exact quantiles of a column, linear between the two values that each falls between.
+
+    All come from one table of ranks by ranges: no task or buffer holds the column's distinct values. Nulls and NaN do
+    not count; a column without a value gives nulls.
+    """
+    v = F.col(f"`{value}`").cast("double")
+    counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     placed = ranks(counts, "v", "n")
     n = placed.agg(F.max("upto")).first()[0]
     if n is None:
-        return None
-    low, high = placed.agg(F.min(F.when(F.col("upto") >= (n + 1) // 2, F.col("v"))), F.min(F.when(F.col("upto") >= n // 2 + 1, F.col("v")))).first()
-    return (low + high) / 2
+        return dict.fromkeys(wanted)
+    at = {q: (n - 1) * q for q in wanted}
+    places = sorted({p for x in at.values() for p in (int(x) + 1, min(int(x) + 2, n))})
+    row = placed.agg(*(F.min(F.when(F.col("upto") >= p, F.col("v"))) for p in places)).first()
+    found = dict(zip(places, row, strict=True))
+    out = {}
+    for q, x in at.items():
+        low, high = found[int(x) + 1], found[min(int(x) + 2, n)]
+        out[q] = low if low == high else low + (high - low) * (x - int(x))
+    return out
+
+
+def quantile(df: DataFrame, value: str, q: float) -> float | None:
+    return quantiles(df, value, (q,))[q]
+
+
+def median(df: DataFrame, value: str) -> float | None:
+    """The exact median of a column, the mean of the middle two where rows are even; nulls do not count, none gives null."""
+    return quantile(df, value, 0.5)

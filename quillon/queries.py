@@ -13,8 +13,9 @@ from pyspark.sql import Window as W
 
 from quillon.estimator import FeatureForest
 from quillon.functions.primitives import get_primitive, sanitise
-from quillon.operators import complexity, coresets, encoding, ensemble, importance, information, knn, learners, linear, linear_tree, local_models, metrics, pair_distances, pair_metric, pareto, retrieval, sampling, scaling, selection, subsets, timeseries
+from quillon.operators import complexity, coresets, encoding, ensemble, importance, information, knn, learners, linear, linear_tree, local_models, metrics, ordered, pair_distances, pair_metric, pareto, retrieval, sampling, scaling, selection, subsets, timeseries, voronoi
 from quillon.plans import compiler, typed
+from quillon.sources.scratch import scratch_path
 from quillon.streaming import decayed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1162,3 +1163,63 @@ def farthest_first(spark: SparkSession, sf: str) -> DataFrame:
 def decayed_moments(spark: SparkSession, sf: str) -> DataFrame:
     out = decayed.decayed_moments(_t(spark, sf, "events"), "user_id", "ts", "event_id", "value", 0.9)
     return out.select("user_id", _r(F.col("n")).alias("n"), _r(F.col("mean"), 4).alias("mean"), _r(F.col("var"), 3).alias("var"), "rows")
+
+
+# --- Voronoi archives -------------------------------------------------------------------------------------------------
+
+_CELLS, _ROUNDS = 6, 2
+
+
+def _voronoi_sql() -> str:
+    """The embeddings' directions e, farthest-first starts, rounds of means, and each row's last cell in n<rounds + 1>."""
+    steps = ["e AS MATERIALIZED (SELECT id, [x / sqrt(list_dot_product(v, v)) for x in v] AS v, fitness FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, CAST(label * 100 + vec_id % 7 AS DOUBLE) AS fitness FROM embeddings))", "c1 AS MATERIALIZED (SELECT id, v AS w FROM e ORDER BY id LIMIT 1)", "l1 AS MATERIALIZED (SELECT e.id, v, CASE WHEN e.id = c1.id THEN -1 ELSE list_distance(v, w) END AS far FROM e, c1)"]
+    for s in range(2, _CELLS + 1):
+        steps.append(f"c{s} AS MATERIALIZED (SELECT id, v AS w FROM l{s - 1} ORDER BY far DESC, id LIMIT 1)")
+        steps.append(f"l{s} AS MATERIALIZED (SELECT l.id, v, CASE WHEN l.id = c{s}.id THEN -1 ELSE least(far, list_distance(v, w)) END AS far FROM l{s - 1} l, c{s})")
+    steps.append(f"a0 AS MATERIALIZED ({' UNION ALL '.join(f'SELECT {s - 1} AS cell, w FROM c{s}' for s in range(1, _CELLS + 1))})")
+    for r in range(1, _ROUNDS + 2):
+        steps.append(f"n{r} AS MATERIALIZED (SELECT id, v, fitness, cell FROM (SELECT id, v, fitness, cell, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(v, w) DESC, cell) AS r FROM e, a{r - 1}) WHERE r = 1)")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT cell, [x / sqrt(list_dot_product(s, s)) for x in s] AS w FROM (SELECT cell, list(x ORDER BY place) AS s FROM (SELECT cell, place, sum(x) AS x FROM (SELECT cell, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM n{r}) GROUP BY cell, place) GROUP BY cell))")
+    return "WITH " + ", ".join(steps)
+
+
+def _individuals(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("ind_id"), (F.col("label") * 100 + F.col("vec_id") % 7).cast("double").alias("fitness"), F.col("embedding").alias("vector"))
+
+
+@query("voronoi_centres", f"{_voronoi_sql()} SELECT CAST(cell AS INTEGER) AS cell_id, CAST(place AS INTEGER) AS place_id, {_q('x')} AS x FROM (SELECT cell, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS place FROM a{_ROUNDS})")
+def voronoi_centres(spark: SparkSession, sf: str) -> DataFrame:
+    centres = voronoi.voronoi_centres(_individuals(spark, sf), _CELLS, rounds=_ROUNDS)
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    return spark.createDataFrame(rows, "cell_id int, w array<double>").select("cell_id", F.posexplode("w").alias("place_id", "x")).select("cell_id", "place_id", _r(F.col("x")).alias("x"))
+
+
+@query("voronoi_archive", f"{_voronoi_sql()} SELECT CAST(cell AS INTEGER) AS cell_id, id AS ind_id, fitness FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY fitness, id) AS r FROM n{_ROUNDS + 1}) WHERE r = 1")
+def voronoi_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """Three generations merged one by one into a stored archive; the SQL takes all individuals at once."""
+    everyone = _individuals(spark, sf)
+    archive = voronoi.VoronoiArchive(spark, scratch_path(spark, "archive")).create(voronoi.voronoi_centres(everyone, _CELLS, rounds=_ROUNDS))
+    for generation in range(3):
+        found = archive.merge(everyone.where(F.col("ind_id") % 3 == generation), generation)
+    return found.select(F.col("cell").alias("cell_id"), "ind_id", "fitness")
+
+
+@query("reclustered_archive")
+def reclustered_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """Two generations; the second's best and the first's elites are clustered anew."""
+    everyone = _individuals(spark, sf)
+    first = voronoi.reclustered_archive(everyone.where("ind_id % 2 = 0"), None, _CELLS, 100)
+    return voronoi.reclustered_archive(everyone.where("ind_id % 2 = 1"), first, _CELLS, 100, mode="combined").select("ind_id", "fitness")
+
+
+@query("voronoi_members")
+def voronoi_members(spark: SparkSession, sf: str) -> DataFrame:
+    df, members = _members(spark, sf)
+    found = voronoi.voronoi_members(df, members, "y", 3)
+    return spark.createDataFrame(list(enumerate(found, 1)), "rk int, member string")
+
+
+@query("exact_quantiles", f"SELECT CAST(q * 100 AS INTEGER) AS q_id, {_q('x')} AS x FROM (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.77, 1.0]) AS q, unnest((SELECT quantile_cont(c_acctbal, [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]) FROM customer)) AS x)")
+def exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    found = ordered.quantiles(_t(spark, sf, "customer"), "c_acctbal", (0.0, 0.1, 0.25, 0.5, 0.77, 1.0))
+    return spark.createDataFrame([(round(q * 100), x) for q, x in found.items()], "q_id int, x double").select("q_id", _r(F.col("x")).alias("x"))
