@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.operators import ordered
+
 
 def _look_up(df: DataFrame, table: DataFrame, cat: str, outputs: dict[str, Column | None]) -> DataFrame:
     looked = table.select(F.col(f"`{cat}`").alias("__k"), *outputs)
@@ -92,7 +94,7 @@ def ordered_target(df: DataFrame, cat: str, y: str, order: str, output: str, pri
 
 def quantile_target(train: DataFrame, df: DataFrame, cat: str, y: str, output: str, q: float = 0.5, m: float = 1.0) -> DataFrame:
     """The category's quantile of y, shrunk to that of all by n / (n + m)."""
-    whole = train.agg(F.percentile(F.col(y).cast("double"), F.lit(q))).first()[0]
+    whole = ordered.quantile(train, y, q)
     n = F.count(F.lit(1))
     table = train.groupBy(f"`{cat}`").agg(((n * F.percentile(F.col(y).cast("double"), F.lit(q)) + F.lit(m * whole)) / (n + F.lit(m))).alias(output))
     return _look_up(df, table, cat, {output: F.lit(whole)})
@@ -172,8 +174,13 @@ def quantile_bins(train: DataFrame, df: DataFrame, column: str, output: str, bin
     """The number of the quantile bin, from 0; ceil(sqrt(n)) bins unless given."""
     x = F.col(f"`{column}`").cast("double")
     bins = bins or max(1, math.ceil(math.sqrt(train.count())))
-    edges = train.agg(F.percentile(x, F.lit([i / bins for i in range(1, bins)]))).first()[0] or [] if bins > 1 else []
-    return df.withColumn(output, F.when(x.isNotNull(), F.size(F.filter(F.lit(sorted(set(edges))), lambda e: e <= x))) if edges else F.lit(0))
+    edges = _edges(train, column, bins)
+    return df.withColumn(output, F.when(x.isNotNull(), ordered.bin_of(x, edges)) if edges else F.lit(0))
+
+
+def _edges(train: DataFrame, column: str, bins: int) -> list[float]:
+    """The distinct edges between equally full bins; none where there is no value."""
+    return sorted({e for e in ordered.quantiles(train, column, [i / bins for i in range(1, bins)]).values() if e is not None}) if bins > 1 else []
 
 
 def histogram_bins(df: DataFrame, column: str, output: str, bins: int = 10) -> DataFrame:
@@ -190,9 +197,9 @@ def nearest_value(train: DataFrame, df: DataFrame, column: str, output: str, buc
     gets the last training value before it and the first after it, so no window spans all rows.
     """
     x = F.col(f"`{column}`").cast("double")
-    edges = sorted(set(train.agg(F.percentile(x, F.array(*(F.lit(i / buckets) for i in range(1, buckets))))).first()[0] or []))
-    bucket = F.size(F.filter(F.lit(edges), lambda e: e <= x)) if edges else F.lit(0)
-    known = train.where(x.isNotNull()).select(x.alias("__v")).distinct().withColumn("__b", F.size(F.filter(F.lit(edges), lambda e: e <= F.col("__v"))) if edges else F.lit(0))
+    edges = _edges(train, column, buckets)
+    bucket = ordered.bin_of(x, edges)
+    known = train.where(x.isNotNull()).select(x.alias("__v")).distinct().withColumn("__b", ordered.bin_of(F.col("__v"), edges))
     ends = known.groupBy("__b").agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     spread = df.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("__b")).join(ends, "__b", "left")
     span = W.orderBy("__b")  # one row per bucket

@@ -2,7 +2,7 @@
 
 Queries and data are dealt to blocks, and every pair of blocks meets once: each pair's partial top k is taken in the
 task by matrix products, so no row pair leaves it, and a window merges k rows per block. This is the stated query set
-against all rows; `index_join` prunes with random projections where all rows are queries.
+against all rows.
 """
 
 from __future__ import annotations
@@ -126,17 +126,3 @@ def sign_bits(vector: Column, planes: np.ndarray) -> Column:
         return pd.Series(["".join("1" if b else "0" for b in row) for row in x @ planes.T >= 0])
 
     return bits(vector)
-
-
-def index_join(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", length: float = 2.0, tables: int = 4) -> DataFrame:
-    """Approximate self-join by bucketed random projections: query_id, id, d2, rk among rows that share a bucket."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = df.select(F.col(id_col).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(vectors)
-    pairs = model.approxSimilarityJoin(vectors, vectors, float("inf"), "d").where("datasetA.id <> datasetB.id")
-    flat = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), (F.col("d") * F.col("d")).alias("d2"))
-    return flat.withColumn("rk", F.row_number().over(W.partitionBy("query_id").orderBy("d2", "id"))).where(F.col("rk") <= k)
-
-

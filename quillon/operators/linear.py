@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import ordered
+
 
 def _sums(features: Sequence[str], y: str, weight: Column | None = None) -> list[Column]:
     one = F.lit(1.0)
@@ -107,8 +109,8 @@ def cross_val_predict(df: DataFrame, features: Sequence[str], y: str, fold: Colu
 
 def ood_folds(df: DataFrame, y: str, folds: int = 5) -> Column:
     """Folds as quantile bins of the target, so each is outside the others' range."""
-    edges = df.agg(F.percentile(F.col(f"`{y}`").cast("double"), F.array(*(F.lit(i / folds) for i in range(1, folds))))).first()[0]
-    return F.size(F.filter(F.lit(edges), lambda e: e <= F.col(f"`{y}`"))).cast("int")
+    edges = [e for e in ordered.quantiles(df, y, [i / folds for i in range(1, folds)]).values() if e is not None] if folds > 1 else []
+    return ordered.bin_of(F.col(f"`{y}`").cast("double"), edges).cast("int")
 
 
 def r2_drop(df: DataFrame, features: Sequence[str], y: str) -> dict[str, float]:

@@ -74,7 +74,9 @@ def bootstrap_error(df: DataFrame, loss: str, row_id: str, rounds: int = 50, see
 
 def outlier_free_mean(df: DataFrame, column: str) -> DataFrame:
     """The mean of the values within 1.5 interquartile ranges of the quartiles."""
-    q1, q3 = df.agg(F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    q1, q3 = ordered.quantiles(df, column, (0.25, 0.75)).values()
+    if q1 is None:
+        return df.agg(F.lit(None).cast("double").alias("mean"))
     reach = 1.5 * (q3 - q1)
     return df.where(F.col(column).between(q1 - reach, q3 + reach)).agg(F.avg(column).alias("mean"))
 
@@ -82,8 +84,8 @@ def outlier_free_mean(df: DataFrame, column: str) -> DataFrame:
 def generation_statistics(df: DataFrame, column: str) -> DataFrame:
     """avg, std (population), quartiles, min and max."""
     x = F.col(column).cast("double")
-    q = lambda p: F.percentile(x, F.lit(p))
-    return df.agg(F.avg(x).alias("avg"), F.stddev_pop(x).alias("std"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = [F.lit(v).cast("double") for v in ordered.quantiles(df, column, (0.25, 0.5, 0.75)).values()]
+    return df.agg(F.avg(x).alias("avg"), F.stddev_pop(x).alias("std"), q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), F.min(x).alias("min"), F.max(x).alias("max"))
 
 
 def weighted_mean_std(df: DataFrame, value: str, weight: str) -> DataFrame:

@@ -7,14 +7,20 @@ are a few rows of each range.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillon.sources.scratch import stored
 
+#: Edges or places up to which plain expressions hold them all.
+FEW = 64
+
 
 def by_range(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     """df with part: the number of its range in the order of the columns; stored, so that ranges stay as they are."""
@@ -66,6 +72,21 @@ def ranks(counts: DataFrame, value: str, n: str) -> DataFrame:
     return cut.withColumn("upto", inside).join(F.broadcast(base), "__b").withColumn("upto", F.col("upto") + F.col("__base")).drop("__b", "__base")
 
 
+def bin_of(x: Column, edges: Sequence[float]) -> Column:
+    """How many of the sorted edges are at most x: an int; a null x has 0, NaN all. Many edges are searched by halving."""
+    if not len(edges):
+        return F.lit(0)
+    if len(edges) <= FEW:
+        return F.size(F.filter(F.lit([float(e) for e in edges]), lambda e: e <= x))
+    cuts = np.asarray(edges, np.float64)
+
+    @F.pandas_udf("int")
+    def place(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, values.to_numpy(np.float64), side="right").astype(np.int32))
+
+    return F.when(x.isNull(), F.lit(0)).otherwise(place(x))
+
+
 def quantiles(df: DataFrame, value: str, wanted: Sequence[float]) -> dict[float, float | None]:
     """Exact quantiles of a column, linear between the two values that each falls between.
 
@@ -80,8 +101,13 @@ def quantiles(df: DataFrame, value: str, wanted: Sequence[float]) -> dict[float,
         return dict.fromkeys(wanted)
     at = {q: (n - 1) * q for q in wanted}
     places = sorted({p for x in at.values() for p in (int(x) + 1, min(int(x) + 2, n))})
-    row = placed.agg(*(F.min(F.when(F.col("upto") >= p, F.col("v"))) for p in places)).first()
-    found = dict(zip(places, row, strict=True))
+    if len(places) <= FEW:
+        found = dict(zip(places, placed.agg(*(F.min(F.when(F.col("upto") >= p, F.col("v"))) for p in places)).first(), strict=True))
+    else:  # a value stays if a place falls among its rows, so a row a place comes to the driver at most
+        held = placed.where(bin_of(F.col("upto").cast("double"), places) > bin_of((F.col("upto") - F.col("n")).cast("double"), places))
+        rows = held.select("v", "upto").orderBy("upto").collect()
+        upto = [r["upto"] for r in rows]
+        found = {p: rows[bisect_left(upto, p)]["v"] for p in places}
     out = {}
     for q, x in at.items():
         low, high = found[int(x) + 1], found[min(int(x) + 2, n)]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.operators import ordered
+
 
 def mini_batch(df: DataFrame, row_id: str, generation: int, n: int, size: int = 32, step: int = 8) -> DataFrame:
     """The cyclic slice of `size` rows from place generation * step mod n, by row ids 0 to n-1."""
@@ -30,8 +32,8 @@ def random_subset(df: DataFrame, row_id: str, k: int, seed: int = 0) -> DataFram
 
 def quantile_sample(df: DataFrame, column: str, row_id: str, bins: int) -> DataFrame:
     """One row per quantile bin of the column: the one with the smallest hash."""
-    edges = df.agg(F.percentile(F.col(column).cast("double"), F.array(*(F.lit(i / bins) for i in range(1, bins))))).first()[0]
-    place = F.size(F.filter(F.lit(edges), lambda e: e <= F.col(column)))
+    edges = [e for e in ordered.quantiles(df, column, [i / bins for i in range(1, bins)]).values() if e is not None] if bins > 1 else []
+    place = ordered.bin_of(F.col(f"`{column}`").cast("double"), edges)
     return df.withColumn("bin", place).withColumn("__r", F.row_number().over(W.partitionBy("bin").orderBy(F.xxhash64(row_id), row_id))).where("__r = 1").drop("__r")
 
 

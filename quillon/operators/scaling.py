@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.primitives import sanitise
+from quillon.operators import ordered
 
 
 @dataclass(frozen=True)
@@ -32,8 +33,10 @@ def _affine(shift: float | None, scale: float | None) -> Callable[[Column], Colu
     return lambda x: (x - F.lit(shift)) / F.lit(scale)
 
 
-def _quantiles(*at: float) -> Callable[[Column], Column]:
-    return lambda x: F.percentile(x, F.array(*(F.lit(p) for p in at)))
+def _quantiles(df: DataFrame, column: str, at: Sequence[float]) -> list[float] | None:
+    """Exact quantiles from ranks by ranges; nothing for a column without a value."""
+    found = list(ordered.quantiles(df, column, at).values())
+    return None if found[0] is None else found
 
 
 def standard(df: DataFrame, columns: Sequence[str]) -> Scaler:
@@ -50,8 +53,8 @@ def min_max(df: DataFrame, columns: Sequence[str]) -> Scaler:
 
 def robust(df: DataFrame, columns: Sequence[str]) -> Scaler:
     """(x - median) / interquartile range."""
-    s = _stats(df, columns, q=_quantiles(0.25, 0.5, 0.75))
-    return Scaler({c: _affine(v["q"][1], v["q"][2] - v["q"][0]) if v["q"] else _affine(0, 1) for c, v in s.items()})
+    s = {c: _quantiles(df, c, (0.25, 0.5, 0.75)) for c in columns}
+    return Scaler({c: _affine(q[1], q[2] - q[0]) if q else _affine(0, 1) for c, q in s.items()})
 
 
 def max_abs(df: DataFrame, columns: Sequence[str]) -> Scaler:
@@ -73,7 +76,7 @@ def safety(df: DataFrame, columns: Sequence[str]) -> Scaler:
 
 def robust_clip(df: DataFrame, columns: Sequence[str]) -> Scaler:
     """z = (x - median) * s, s from the interquartile range, else twice the reciprocal range, else 0; then z / sqrt(1 + (z/3)^2)."""
-    s = _stats(df, columns, q=_quantiles(0.0, 0.25, 0.5, 0.75, 1.0))
+    s = {c: _quantiles(df, c, (0.0, 0.25, 0.5, 0.75, 1.0)) or [0.0] * 5 for c in columns}
 
     def scale(q: list[float]) -> Callable[[Column], Column]:
         iqr, span = q[3] - q[1], q[4] - q[0]
@@ -85,7 +88,7 @@ def robust_clip(df: DataFrame, columns: Sequence[str]) -> Scaler:
 
         return f
 
-    return Scaler({c: scale(v["q"]) for c, v in s.items()})
+    return Scaler({c: scale(q) for c, q in s.items()})
 
 
 def skew(df: DataFrame, columns: Sequence[str], limit: float = 0.5) -> Scaler:
@@ -128,7 +131,7 @@ def bounds(df: DataFrame, columns: Sequence[str]) -> Scaler:
 def quantile_uniform(df: DataFrame, column: str, quantiles: int = 1000) -> Scaler:
     """The share of the fitted distribution below x, interpolated between quantiles; the number of quantiles is bounded."""
     grid = [i / (quantiles - 1) for i in range(quantiles)]
-    found = df.agg(F.percentile(F.col(f"`{column}`").cast("double"), F.array(*(F.lit(g) for g in grid)))).first()[0]
+    found = _quantiles(df, column, grid) or [0.0] * quantiles
 
     def f(x: Column) -> Column:
         edges = F.lit(found)

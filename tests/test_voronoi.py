@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import ordered, voronoi
+from quillon.operators import voronoi
 from quillon.sources.scratch import scratch_path
 
 SCHEMA = "ind_id long, fitness double, vector array<double>, cell string, in_cell int"
@@ -122,12 +122,3 @@ def test_members(spark):
     assert voronoi.voronoi_members(df, list("f"), "y", 3) == ["f"]
     assert set(voronoi.voronoi_members(df, list("abcdef"), "y", 6)) <= set("abcdef")
     assert len(voronoi.voronoi_members(df, list("abcd"), "y", 2, symmetric=True)) == 2
-
-
-def test_quantiles(spark):
-    x = [3.0, 1.0, 1.0, 1.0, 9.0, 4.5, -2.0] * 5 + [1e9]
-    df = spark.createDataFrame([(v,) for v in x] + [(None,), (float("nan"),)], "`a b` double")
-    wanted = (0.0, 0.2, 0.25, 0.5, 0.9, 0.99, 1.0)
-    found = ordered.quantiles(df, "a b", wanted)
-    assert [found[q] for q in wanted] == pytest.approx([float(np.quantile(x, q)) for q in wanted])
-    assert ordered.quantiles(df.limit(0), "a b", (0.5,)) == {0.5: None}
