@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -95,19 +96,26 @@ def quantiles(df: DataFrame, value: str, wanted: Sequence[float]) -> dict[float,
     """
     v = F.col(f"`{value}`").cast("double")
     counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    placed = ranks(counts, "v", "n")
-    n = placed.agg(F.max("upto")).first()[0]
-    if n is None:
+    cut = by_range(counts, ["v"], "quantiles")
+    sizes = sorted((r["part"], r["n"]) for r in cut.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row a range
+    ends = list(accumulate(n for _, n in sizes))
+    if not ends:
         return dict.fromkeys(wanted)
+    n = ends[-1]
     at = {q: (n - 1) * q for q in wanted}
     places = sorted({p for x in at.values() for p in (int(x) + 1, min(int(x) + 2, n))})
+    held = sorted({bisect_left(ends, p) for p in places})
+    base = df.sparkSession.createDataFrame([(sizes[i][0], ends[i] - sizes[i][1]) for i in held], "part int, base long")
+    # only ranges that hold a place are put in order
+    upto = F.col("base") + F.sum("n").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    placed = cut.join(F.broadcast(base), "part").select("v", "n", upto.alias("upto"))
     if len(places) <= FEW:
         found = dict(zip(places, placed.agg(*(F.min(F.when(F.col("upto") >= p, F.col("v"))) for p in places)).first(), strict=True))
     else:  # a value stays if a place falls among its rows, so a row a place comes to the driver at most
-        held = placed.where(bin_of(F.col("upto").cast("double"), places) > bin_of((F.col("upto") - F.col("n")).cast("double"), places))
-        rows = held.select("v", "upto").orderBy("upto").collect()
-        upto = [r["upto"] for r in rows]
-        found = {p: rows[bisect_left(upto, p)]["v"] for p in places}
+        kept = placed.where(bin_of(F.col("upto").cast("double"), places) > bin_of((F.col("upto") - F.col("n")).cast("double"), places))
+        rows = kept.select("v", "upto").orderBy("upto").collect()
+        reach = [r["upto"] for r in rows]
+        found = {p: rows[bisect_left(reach, p)]["v"] for p in places}
     out = {}
     for q, x in at.items():
         low, high = found[int(x) + 1], found[min(int(x) + 2, n)]
