@@ -74,3 +74,15 @@ def test_farthest_first(spark):
     assert _radius(points, [r.id for r in dealt]) <= 2 * _radius(points, [r.id for r in whole])
     assert coresets.farthest_first(df.where("vec_id < 5"), 12).count() == 5
     assert coresets.farthest_first(df.where("vec_id < 0"), 12).count() == 0
+
+
+@pytest.mark.parametrize(("ahead", "kept"), [(512, 256), (3, 4), (1, 1)])
+def test_farthest_first_by_passes(spark, monkeypatch, ahead, kept):
+    """Beyond one task's rows the choice is the greedy one still, ties to the smaller id."""
+    monkeypatch.setattr(coresets, "AHEAD", ahead)
+    monkeypatch.setattr(coresets, "KEPT", kept)
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.integers(0, 4, size=(150, 2)).astype(float), rng.normal(9, 1, size=(50, 2)), [[2.0, 2.0]] * 5])
+    df = spark.createDataFrame([(1000 - i, p.tolist()) for i, p in enumerate(points)] + [(5, None)], "vec_id long, embedding array<double>").repartition(5)
+    whole = [tuple(r) for r in coresets.farthest_first(df, 20).orderBy("rk").collect()]
+    assert [tuple(r) for r in coresets.farthest_first(df, 20, task_rows=40).orderBy("rk").collect()] == whole
