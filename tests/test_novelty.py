@@ -38,3 +38,22 @@ def test_several_blocks(spark, monkeypatch):
     want = brute(rows, 3) | {i: float("inf") for i in (900, 901, 902)}
     assert found.keys() == want.keys()
     assert all(found[i] == pytest.approx(n, abs=1e-9) for i, n in want.items())
+
+
+def test_copies_travel_to_few_tasks(spark, monkeypatch):
+    """As many groups whatever the blocks; of neighbours as near, those of smaller ids; NaN fitness takes no part."""
+    monkeypatch.setattr(ensemble, "BLOCK", 7)
+    monkeypatch.setattr(ensemble, "NOVELTY_GROUPS", 3)
+    monkeypatch.setattr(ensemble, "NOVELTY_SLICE", 11)
+    r = np.random.default_rng(6)
+    rows = [(int(i), v.tolist(), float(f)) for i, v, f in zip(r.permutation(120), np.repeat(r.normal(size=(30, 4)), 4, axis=0), r.integers(0, 5, 120), strict=True)]
+    df = spark.createDataFrame([*rows, (900, [1.0] * 4, float("nan"))], "ind_id long, e array<double>, fitness double")
+    found = {x.ind_id: x.novelty for x in ensemble.dominated_novelty(df, "e", 3).collect()}
+    want = brute(rows, 3) | {900: float("inf")}
+    assert found.keys() == want.keys()
+    assert all(found[i] == pytest.approx(n, abs=1e-9) for i, n in want.items())
+
+
+@pytest.mark.parametrize(("n", "groups"), [(10, 1), (5000, 3), (100_000, 16), (600_000, 16)])
+def test_groups_do_not_grow_with_rows(n, groups):
+    assert ensemble.novelty_groups(n, 64) == groups
