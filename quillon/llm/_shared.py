@@ -59,6 +59,13 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished steps at once: their plans, and with these the shuffle files and broadcasts that Spark drops once
+    the driver has collected its garbage. A long chain of steps otherwise fills the driver's heap with them first."""
+    trim_worker(keep=True)
+    spark._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -127,7 +134,7 @@ def crc32_sql(text: str) -> str:
 
 
 def trim_worker(keep: bool = False) -> None:
-    """In a Python worker: drop the token cache that an earlier task left, unless told to keep it, and give freed memory back.
+    """In a Python worker or the driver: drop the token cache that an earlier task left, unless told to keep it, and give freed memory back.
 
     Workers outlive tasks and are shared by all operators; a task with large arrays of its own begins with this.
     """

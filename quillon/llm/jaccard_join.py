@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import discard, materialise, trim_worker
+from ._shared import discard, materialise, release, trim_worker
 from .components import components
 
 SLICE_BYTES = 500_000
@@ -38,7 +38,7 @@ LEADER_ROUNDS = 3
 #: Sets that share so many hundredths of their prefix with other components go by the second order among themselves.
 CROWDED = 20
 #: Sketches that one task sums.
-SKETCHES_AT_ONCE = 64
+SKETCHES_AT_ONCE = 16
 #: Multipliers that make the token orders; the first gives the candidates.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -147,25 +147,33 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, fp long, text_hash long, sketch binary")
 
 
-def _counters(sketch: bytes) -> np.ndarray:
+def _counters(sketch: pa.Buffer) -> np.ndarray:
     """The counters of a task's sketch (32 bits each) or of a sum of them (64 bits)."""
     return np.frombuffer(sketch, np.uint32 if len(sketch) == 4 * SKETCH else np.int64).astype(np.int64)
 
 
-def _sum_sketches(described: DataFrame) -> np.ndarray:
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _heavy(described: DataFrame) -> np.ndarray:
+    """The class of every counter of the sketch, summed over all tasks by a tree of tasks; the driver gets a byte a counter."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                counts += _counters(x)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()])], names=["sketch"])
+            for x in batch.column(0):
+                counts += _counters(x.as_buffer())
+        return counts
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([summed(batches).tobytes()])], names=["sketch"])
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([_classes(summed(batches)).tobytes()])], names=["heavy"])
 
     parts = described.where("sketch IS NOT NULL").select("sketch")
     left = parts.count()
-    while left > 8:  # a tree of sums, until 8 arrays of SKETCH counters are left to collect
-        left = max(8, -(-left // SKETCHES_AT_ONCE))
+    while left > SKETCHES_AT_ONCE:
+        left = -(-left // SKETCHES_AT_ONCE)
         parts = parts.repartition(left).mapInArrow(add, "sketch binary")
-    return np.sum([_counters(p["sketch"]) for p in parts.collect()], axis=0) if left else np.zeros(SKETCH, np.int64)
+    return np.frombuffer(parts.repartition(1).mapInArrow(classify, "heavy binary").first()["heavy"], np.uint8)
 
 
 def _postings(docs: DataFrame, heavy: np.ndarray, width: int, need: int) -> DataFrame:
@@ -310,6 +318,7 @@ def _with_sets(docs: DataFrame, sets: DataFrame | None, wanted: DataFrame, first
     wanted = materialise(wanted, "jaccard-wanted")
     lacking = wanted if sets is None else wanted.join(sets.select("fp"), "fp", "left_anti")
     more = materialise(_sets(docs, lacking.join(firsts, "fp"), width), "jaccard-members")
+    release(docs.sparkSession)
     sets = more if sets is None else sets.unionByName(more)
     few = wanted.count() <= MAX_BROADCAST_IDS  # the members stay where they are then
     return sets, sets.join(F.broadcast(wanted) if few else wanted, "fp", "left_semi")
@@ -328,7 +337,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     described = materialise(_describe(docs, width), "jaccard-sets")
-    heavy = _classes(_sum_sketches(described))
+    heavy = _heavy(described)
+    release(docs.sparkSession)
     rows = described.where("sketch IS NULL").drop("sketch")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x")
     firsts = rows.where("n > 0").groupBy("fp").agg(first).select("fp", "x.doc_id", "x.text_hash")
@@ -338,6 +348,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = 1 - F.count(F.lit(1)).over(W.partitionBy("fp")) / F.col("n")
     shared = materialise(shared.withColumn("own", own), "jaccard-shared")
     discard(postings)
+    release(docs.sparkSession)
 
     # some rounds in which every set is compared with one leader only, of those outside its component: per member the
     # leader is the set with the least of its prefix to itself, among all sets at first and then among another quarter
@@ -362,6 +373,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found = materialise(_verified(pairs, both, heavy, need), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+        release(docs.sparkSession)
         if not found.limit(1).count():
             break
 
@@ -370,6 +382,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labelled = shared.drop("own").join(in_component, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     open_tokens = materialise(_counted(labelled, "label").select("token", "fp", "n", "pos", "label"), "jaccard-open")
     discard(shared)
+    release(docs.sparkSession)
     of_prefix = F.col("n") - F.ceil(F.col("n") * need / F.lit(100)) + 1
     opened = open_tokens.groupBy("fp", "n", "label").agg(F.count(F.lit(1)).alias("o")).withColumn("crowded", 100 * F.col("o") >= CROWDED * of_prefix)
     opened = materialise(opened.select("fp", "label", "o", "crowded"), "jaccard-opened")
@@ -381,6 +394,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ranked = ranked.withColumn("pos", place).where(100 * (F.col("n") - F.col("pos")) >= need * F.col("n"))
     ranked = materialise(ranked.join(crowd, "fp").select("token", "fp", "n", "pos", "label", "o", "crowded"), "jaccard-ranked")
     discard(posted)
+    release(docs.sparkSession)
     some = open_tokens.join(opened.drop("label"), "fp")
     across = materialise(_across(some, need, False).unionByName(_across(ranked, need, True)).distinct(), "jaccard-across")
     sets, all_sets = _with_sets(docs, sets, _ends(across), firsts, width)
@@ -388,6 +402,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = components(links.unionByName(late))
     for table in (open_tokens, opened, ranked, across):
         discard(table)
+    release(docs.sparkSession)
 
     named = labels.withColumnRenamed("node", "fp").join(firsts, "fp")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))

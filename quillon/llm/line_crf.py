@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import trim_worker
+from ._shared import release, trim_worker
 
 SLICE_CHARS = 500_000
 #: The base features of a line, in order; the values are shares from 0 to 1 or are scaled to about that.
@@ -245,7 +245,10 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return LineCRF(np.concatenate([np.zeros(width - 1), [odds]]), np.zeros((2, 2)), mean)
     parts = [np.frombuffer(r["x"], np.float32).reshape(-1, width).astype(np.float64) for r in found]
     who = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    return fit(np.vstack(parts), who, labels[who])
+    model = fit(np.vstack(parts), who, labels[who])
+    del found, parts
+    release(docs.sparkSession)
+    return model
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:

@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._shared import carries_columns, discard, materialise, trim_worker
+from ._shared import carries_columns, discard, materialise, release, trim_worker
 
 ANCHOR = 32
 #: Texts are hashed in segments of so many bytes, which overlap by length - 1.
 SEGMENT = 1 << 19
-#: Bytes of distinct runs that a block holds before it is sorted, anchors being whole.
-BLOCK_BYTES = 4_000_000
+#: Bytes of distinct runs that a block holds before it is sorted, anchors being whole; sorting takes some 50 times as much.
+BLOCK_BYTES = 1_000_000
+#: Bytes of runs, copies included, for which there is a partition of anchors; it is sorted block by block.
+PARTITION_BYTES = 8_000_000
 #: Tables of at most so many rows are broadcast, larger ones shuffled.
 MAX_BROADCAST_ROWS = 250_000
 
@@ -336,9 +338,10 @@ def find_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Data
     repeated = seen.where("many OR lo <> hi").select("anchor")
     met = materialise(_find_runs(texts, length).join(repeated, "anchor").distinct(), "suffix-runs")
     total = met.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + length), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // (2 * BLOCK_BYTES)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(1, -(-int(total) // PARTITION_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     routed = materialise(_with_bytes(met, texts, length), "suffix-bytes")
     discard(met)
+    release(docs.sparkSession)
     # equal runs are one run here; where there are several, all their starts repeat
     distinct = routed.groupBy("anchor", "digest").agg(F.max("bytes").alias("bytes"))
     found = _repeats(distinct.select("anchor", "digest", "bytes").repartition(blocks, "anchor").sortWithinPartitions("anchor"), length)
@@ -349,6 +352,7 @@ def find_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Data
     ranges = materialise(met_parts.select("th", (F.col("first") + F.col("f")).alias("f"), (F.col("first") + F.col("t") - 1 + length).alias("e")), "suffix-ranges")
     discard(routed)
     discard(parts)
+    release(docs.sparkSession)
     by_text = W.partitionBy("th").orderBy("f", "e")
     upto = F.max("e").over(by_text.rowsBetween(W.unboundedPreceding, -1))
     islands = ranges.withColumn("new", F.when(F.col("f") > F.coalesce(upto, F.lit(-1)), 1).otherwise(0)).withColumn("island", F.sum("new").over(by_text.rowsBetween(W.unboundedPreceding, 0)))
